@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from strataquill.llm import exact_dedup, packing, sharding
+from strataquill.llm import chat_format, exact_dedup, near_dedup, packing, sharding
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op4_hypergeometric_sharding": sharding.op4_hypergeometric_sharding,
+    "op5_minhash_lsh_forest": near_dedup.op5_minhash_lsh_forest,
+    "op6_chat_template": chat_format.op6_chat_template,
 }
 
 ORACLES = {
     "op1_exact_dedup": exact_dedup.ORACLE,
+    "op5_minhash_lsh_forest": near_dedup.ORACLE,
+    "op6_chat_template": chat_format.ORACLE,
 }
