@@ -52,15 +52,15 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words (runs of bytes other than ASCII white space) of each text.
+def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words (runs of bytes other than ``space``: ASCII white space) of each text.
 
     Returns (64-bit hash of each word, start byte, end byte, index of the text).
     """
     if len(data) == 0:
         z = np.zeros(0, np.int64)
         return np.zeros(0, U64), z, z, z
-    solid = ~_SPACE[data]
+    solid = ~space[data]
     edge = np.empty(len(data), dtype=bool)
     edge[0] = True
     np.not_equal(solid[1:], solid[:-1], out=edge[1:])
@@ -87,3 +87,31 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np
 def spans(text: np.ndarray, n: int) -> np.ndarray:
     """Offsets (n + 1) of each text's words, for ``text`` sorted ascending."""
     return np.searchsorted(text, np.arange(n + 1))
+
+
+#: Separators for lines.
+NEWLINE = np.zeros(256, dtype=bool)
+NEWLINE[[10, 13]] = True
+
+
+def word_ngrams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, sizes: tuple[int, ...], bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(word, n-gram hash below 2**bits) of every character n-gram of lower-cased words between edge marks, over UTF-8 units."""
+    lens = ends - starts + 2
+    total = int(lens.sum())
+    word = np.repeat(np.arange(len(lens)), lens)
+    base = np.cumsum(lens) - lens
+    pos = np.arange(total) - base[word]
+    chars = _LOWER[data[np.clip(starts[word] + pos - 1, 0, max(0, len(data) - 1))]].astype(U64)
+    chars[base] = 1
+    chars[base + lens - 1] = 2
+    chars += U64(1)
+    rest = lens[word] - pos
+    owners, grams = [], []
+    for n in sizes:
+        at = np.flatnonzero(rest >= n)
+        h = np.full(len(at), U64(n * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+        for j in range(n):
+            h = (h ^ chars[at + j]) * U64(0x100000001B3)
+        grams.append((mix(h) >> U64(64 - bits)).astype(np.int64))
+        owners.append(word[at])
+    return np.concatenate(owners), np.concatenate(grams)

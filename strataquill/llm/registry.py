@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from strataquill.llm import chat_format, exact_dedup, near_dedup, packing, sharding
+from strataquill.llm import chat_format, decontamination, exact_dedup, near_dedup, packing, quality, sharding, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
+    "op3_spaced_seed_decontamination": decontamination.op3_spaced_seed_decontamination,
     "op4_hypergeometric_sharding": sharding.op4_hypergeometric_sharding,
     "op5_minhash_lsh_forest": near_dedup.op5_minhash_lsh_forest,
     "op6_chat_template": chat_format.op6_chat_template,
+    "op8_weak_label_quality": quality.op8_weak_label_quality,
+    "op10_nb_scaled_toxicity": toxicity.op10_nb_scaled_toxicity,
 }
 
 ORACLES = {
     "op1_exact_dedup": exact_dedup.ORACLE,
+    "op3_spaced_seed_decontamination": decontamination.ORACLE,
     "op5_minhash_lsh_forest": near_dedup.ORACLE,
     "op6_chat_template": chat_format.ORACLE,
 }
