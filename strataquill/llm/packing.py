@@ -10,9 +10,12 @@ each group is packed alone, so memory is bounded and a group loses at most its l
 
 from __future__ import annotations
 
+import itertools
+import json
 import re
+import unicodedata
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,33 +26,103 @@ from strataquill.llm._store import Scratch
 
 CAPACITY = 4096
 END_ID = 1
-CACHE = 400_000
+CACHE = 1_000_000
 #: Control characters that Python's split() takes as white space but the tokenizer does not, and wide spaces.
 _ODD = re.compile("[\x1c-\x1f]")
 
 
-def word_encoder(path: str, cache_size: int = CACHE) -> Callable[[list[str]], list[bytes]]:
-    """A function from texts to their ids as little-endian unsigned 32-bit bytes.
+#: Letters and numbers below U+0250 as Unicode classes them; texts with characters beyond go to the tokenizer itself.
+_L = "a-zA-Z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+_N = "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
+_PRETOKEN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^\\s{_L}{_N}]+|\n")
+_BEYOND = re.compile("[^\x00-\u024f]|<\\|")
 
-    The vocabulary's pre-tokenizer never joins characters across white space, so the ids of a text are those of
-    its words one after another. Words' ids are kept in a cache of bounded size, which is emptied when full.
-    """
-    from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    known: dict[str, bytes] = {}
+class WordEncoder:
+    """From texts to their ids as little-endian unsigned 32-bit bytes, equal to the tokenizer's own.
+
+    The vocabulary's pre-tokenizer never joins characters across white space, so the ids of a text are those of its
+    words one after another. Words' ids are kept in a cache of bounded size, which is emptied when full. A new
+    word's parts are found here and encoded together by the model alone; what holds characters beyond U+024F or
+    might hold a special token is left to the whole tokenizer.
+    """
 
-    def encode(texts: list[str]) -> list[bytes]:
+    def __init__(self, path: str, cache_size: int = CACHE):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            data = json.load(f)
+        vocabulary = data["model"]["vocab"]
+        self.plain = data["normalizer"] is not None and data["model"].get("end_of_word_suffix") == "</w>" and "'s|'t|'re" in json.dumps(data["pre_tokenizer"])
+        self.is_end = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.is_end[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        data |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "WhitespaceSplit"}}
+        self.model = Tokenizer.from_str(json.dumps(data))
+        printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        self.bytes = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in printable) if b != 10}
+        self.cache_size = cache_size
+        self.known: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def learn_parts(self, new: list[str]) -> bool:
+        """Ids of lower-case pre-tokens, all in one call; each ends with its only token that closes a word."""
+        text = "\n".join(new)
+        if not (text.isascii() and text.replace("\n", "").isprintable()):
+            text = text.encode().decode("latin-1").translate(self.bytes)
+        ids = np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4")
+        ends = (np.flatnonzero(self.is_end[ids]) + 1) * 4
+        if len(ends) != len(new):
+            return False
+        data, ends = ids.tobytes(), ends.tolist()
+        self.parts.update(zip(new, map(data.__getitem__, map(slice, [0, *ends[:-1]], ends))))
+        return True
+
+    def learn(self, new: list[str]) -> None:
+        odd = [w for w in new if _BEYOND.search(w)] if self.plain and _BEYOND.search("\n".join(new)) else [] if self.plain else new
+        for w in odd:
+            self.known[w] = self.whole(w)
+        if odd:
+            gone = set(odd)
+            new = [w for w in new if w not in gone]
+        if not new:
+            return
+        found = _PRETOKEN.findall(unicodedata.normalize("NFC", "\n".join(new)).lower())
+        unknown = list(itertools.filterfalse(self.parts.__contains__, set(found) - {"\n"}))
+        plain = [w for w in unknown if w.isascii()]
+        wide = [w for w in unknown if not w.isascii()]
+        if (plain and not self.learn_parts(plain)) or (wide and not self.learn_parts(wide)):
+            self.known.update((w, self.whole(w)) for w in new)
+            return
+        self.parts["\n"] = b"\xff\xff\xff\xff"  # no id
+        ids = b"".join(map(self.parts.__getitem__, found))
+        ends = np.flatnonzero(np.frombuffer(ids, "<u4") == 0xFFFFFFFF) * 4
+        ends = [*ends.tolist(), len(ids)]
+        self.known.update(zip(new, map(ids.__getitem__, map(slice, [0, *(e + 4 for e in ends[:-1])], ends))))
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
         split = [t.split() if not _ODD.search(t) else None for t in texts]
-        if len(known) > cache_size:
-            known.clear()
-        new = list({w for s in split if s for w in s if w not in known})
-        for w, e in zip(new, tokenizer.encode_batch(new, add_special_tokens=False)):
-            known[w] = np.array(e.ids, "<u4").tobytes()
-        get = known.__getitem__
-        return [b"".join(map(get, s)) if s is not None else np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for s, t in zip(split, texts)]
+        if len(self.known) > self.cache_size:
+            self.known.clear()
+        if len(self.parts) > self.cache_size:
+            self.parts.clear()
+        distinct = set(itertools.chain.from_iterable(s for s in split if s))
+        self.learn(list(itertools.filterfalse(self.known.__contains__, distinct)))  # a set minus a view would visit the whole cache
+        get = self.known.__getitem__
+        return [b"".join(map(get, s)) if s is not None else self.whole(t) for s, t in zip(split, texts)]
+
+
+_ENCODERS: dict[str, WordEncoder] = {}
+
 
-    return encode
+def word_encoder(path: str) -> WordEncoder:
+    """The process's encoder for a vocabulary file; its caches serve all tasks that the process runs."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -65,8 +138,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = word_encoder(tokenizer_path)
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
                 took, nos, starts, lengths, sums, ids = [], [], [], [], [], []
                 for row, blob in enumerate(encode(batch.column(1).fill_null("").to_pylist())):
                     blob += end
