@@ -1 +1 @@
-
+"""Relational, graph and text operators over content-addressed tables."""

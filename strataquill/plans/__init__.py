@@ -1 +1 @@
-
+"""Plan builders: lineage cuts, fixpoints, revision expressions."""
