@@ -1 +1 @@
-
+"""Streams of reflog lines and of landed packs."""
