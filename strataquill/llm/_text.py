@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -52,36 +55,65 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+#: Bytes that word hashing works on at once; its working memory is some sixty times as much.
+BLOCK = 1 << 20
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: int = 0, most_bytes: int = BLOCK, most_rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Parts of Arrow batches with a bounded number of rows and, but for single long texts, of text bytes in ``column``."""
+    for whole in batches:
+        sizes = pc.binary_length(whole.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(sizes)
+        at, n = 0, whole.num_rows
+        while at < n:
+            before = int(ends[at - 1]) if at else 0
+            end = min(n, at + most_rows, max(at + 1, int(np.searchsorted(ends, before + most_bytes, side="right"))))
+            yield whole.slice(at, end - at)
+            at = end
+
+
 def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words (runs of bytes other than ``space``: ASCII white space) of each text.
 
-    Returns (64-bit hash of each word, start byte, end byte, index of the text).
+    Returns (64-bit hash of each word, start byte, end byte, index of the text). Works block by block, cut between words.
     """
-    if len(data) == 0:
+    found, a, n = [], 0, len(data)
+    while a < n:
+        b = a + BLOCK
+        while b < n:
+            gap = np.flatnonzero(space[data[b : b + 65536]])
+            if len(gap):
+                b += int(gap[0])
+                break
+            b += 65536
+        b = min(b, n)
+        inside = offsets[(offsets > a) & (offsets < b)]
+        hashes, starts, ends = _block(data[a:b], inside - a, lower, space)
+        found.append((hashes, starts + a, ends + a))
+        a = b
+    if not found:
         z = np.zeros(0, np.int64)
         return np.zeros(0, U64), z, z, z
+    hashes, starts, ends = (np.concatenate(x) for x in zip(*found)) if len(found) > 1 else found[0]
+    return hashes, starts, ends, np.searchsorted(offsets, starts, side="right") - 1
+
+
+def _block(data: np.ndarray, cuts: np.ndarray, lower: bool, space: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     solid = ~space[data]
     edge = np.empty(len(data), dtype=bool)
     edge[0] = True
     np.not_equal(solid[1:], solid[:-1], out=edge[1:])
-    cuts = offsets[1:-1]
-    edge[cuts[cuts < len(data)]] = True
+    edge[cuts] = True
     at = np.flatnonzero(edge)
     ends = np.append(at[1:], len(data))
     keep = solid[at]
-    starts, ends = at[keep], ends[keep]
-    if len(starts) == 0:
-        z = np.zeros(0, np.int64)
-        return np.zeros(0, U64), z, z, z
-    text = np.searchsorted(offsets, starts, side="right") - 1
     # Polynomial hash of each word: place of a byte within its word = its place minus the start of its run.
-    run = np.repeat(at, np.diff(np.append(at, len(data))))
-    place = np.arange(len(data), dtype=np.int64) - run
-    chars = (_LOWER[data] if lower else data).astype(U64) + U64(1)
-    power = _powers(int(place.max()) + 1)
-    sums = np.add.reduceat(chars * power[place], at)
-    hashes = mix(sums[keep] ^ (ends - starts).astype(U64) * U64(0x2545F4914F6CDD1D))
-    return hashes, starts, ends, text
+    place = np.arange(len(data), dtype=np.int64)
+    place -= np.repeat(at, ends - at)
+    terms = _powers(int(place.max()) + 1)[place]
+    terms *= (_LOWER[data] if lower else data).astype(U64) + U64(1)
+    starts, ends = at[keep], ends[keep]
+    return mix(np.add.reduceat(terms, at)[keep] ^ (ends - starts).astype(U64) * U64(0x2545F4914F6CDD1D)), starts, ends
 
 
 def spans(text: np.ndarray, n: int) -> np.ndarray:

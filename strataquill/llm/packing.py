@@ -26,7 +26,7 @@ from strataquill.llm._store import Scratch
 
 CAPACITY = 4096
 END_ID = 1
-CACHE = 1_000_000
+CACHE = 700_000
 #: Control characters that Python's split() takes as white space but the tokenizer does not, and wide spaces.
 _ODD = re.compile("[\x1c-\x1f]")
 

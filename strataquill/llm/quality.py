@@ -45,14 +45,16 @@ LABELLERS = (("upper", True, 0.4, 0.12), ("symbols", True, 0.08, 0.03), ("exclai
 def statistics(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(number of words, matrix of STATISTICS) of each text."""
     n = len(offsets) - 1
-    shape = _SHAPE[data]
-    text_of = np.repeat(np.arange(n), np.diff(offsets))
-    shapes = np.bincount(text_of * _SHAPES + shape, minlength=n * _SHAPES).reshape(n, _SHAPES).astype(float)
-    # Characters beyond ASCII: their first bytes; two-byte capitals of Latin-1 count as capitals.
-    first = data >= 0xC0
-    wide = np.bincount(text_of[first], minlength=n).astype(float)
-    at = np.flatnonzero(data[:-1] == 0xC3) if len(data) else np.zeros(0, np.int64)
-    capital = np.bincount(text_of[at[(data[at + 1] <= 0x9E) & (data[at + 1] != 0x97)]], minlength=n)
+    shapes, wide, capital = np.zeros((n, _SHAPES)), np.zeros(n), np.zeros(n)
+    for a in range(0, len(data), _text.BLOCK):
+        part = data[a : a + _text.BLOCK]
+        text_of = np.searchsorted(offsets, np.arange(a, a + len(part)), side="right") - 1
+        shapes += np.bincount(text_of * _SHAPES + _SHAPE[part], minlength=n * _SHAPES).reshape(n, _SHAPES)
+        # Characters beyond ASCII: their first bytes; two-byte capitals of Latin-1 count as capitals.
+        wide += np.bincount(text_of[part >= 0xC0], minlength=n)
+        at = np.flatnonzero(part == 0xC3)
+        after = data[np.minimum(a + at + 1, len(data) - 1)]
+        capital += np.bincount(text_of[at[(after >= 0x80) & (after <= 0x9E) & (after != 0x97)]], minlength=n)
     hashes, _, ends, text = _text.words(data, offsets)
     words = np.bincount(text, minlength=n).astype(float)
     some = np.maximum(words, 1)
@@ -131,30 +133,25 @@ def features(data: np.ndarray, offsets: np.ndarray, words: np.ndarray, found: np
     rows.append(np.arange(n))
     names.append(50_000 + np.searchsorted([1, 2, 4, 8, 16, 32, 64, 128, 256, 1024], words))
     values.append(np.ones(n))
-    if len(data) > 2:
-        shape = _SHAPE[data].astype(np.int64)
-        text = np.repeat(np.arange(n), np.diff(offsets))
+    many = _SHAPES**3
+    counts = np.zeros(n * many)
+    for a in range(0, max(0, len(data) - 2), _text.BLOCK):
+        shape = _SHAPE[data[a : a + _text.BLOCK + 2]].astype(np.int32)
+        text = np.searchsorted(offsets, np.arange(a, a + len(shape)), side="right") - 1
         gram = (shape[:-2] * _SHAPES + shape[1:-1]) * _SHAPES + shape[2:]
         inside = text[:-2] == text[2:]
-        many = _SHAPES**3
-        counts = np.bincount(text[:-2][inside] * many + gram[inside], minlength=n * many)
-        some = np.flatnonzero(counts)
-        rows.append(some // many)
-        names.append(100_000 + some % many)
-        values.append(counts[some] / np.maximum(np.diff(offsets)[some // many] - 2, 1) * 4)
+        counts += np.bincount(text[:-2][inside] * many + gram[inside], minlength=n * many)
+    some = np.flatnonzero(counts)
+    rows.append(some // many)
+    names.append(100_000 + some % many)
+    values.append(counts[some] / np.maximum(np.diff(offsets)[some // many] - 2, 1) * 4)
     hashed = (_text.mix(np.concatenate(names).astype(np.uint64)) >> np.uint64(64 - BITS)).astype(np.int64)
     return np.concatenate(rows), hashed, np.concatenate(values)
 
 
-def _slices(batches: Iterator[pa.RecordBatch], size: int = 512) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for at in range(0, whole.num_rows, size):
-            yield whole.slice(at, size)
-
-
 def _patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: dict[int, int] = {}
-    for batch in _slices(batches):
+    for batch in _text.slices(batches):
         keys, n = np.unique(pattern(votes(*statistics(*_text.utf8(batch.column(0))))), return_counts=True)
         for k, c in zip(keys.tolist(), n.tolist()):
             counts[k] = counts.get(k, 0) + c
@@ -162,7 +159,7 @@ def _patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in _slices(batches):
+    for batch in _text.slices(batches):
         data, offsets = _text.utf8(batch.column(0))
         words, found = statistics(data, offsets)
         row, name, value = features(data, offsets, words, found)
@@ -217,7 +214,7 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     model = train(docs, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
+        for batch in _text.slices(batches, 1):
             words, post, score = model.score(batch.column(1))
             judged = [pa.array(words), pa.array(post), pa.array(score), pa.array(score >= threshold)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *judged], ["first", "n_words", "posterior", "score", "keep"])

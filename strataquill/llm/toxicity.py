@@ -42,16 +42,10 @@ class _Batch:
         self.owner, self.gram = _text.word_ngrams(data, starts[at], ends[at], SIZES, BITS) if self.words else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def _slices(batches: Iterator[pa.RecordBatch], size: int = 256) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for at in range(0, whole.num_rows, size):
-            yield whole.slice(at, size)
-
-
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(gram, clean, toxic): counts over the task's rows of (text, label)."""
     counts = np.zeros((2, 1 << BITS))
-    for batch in _slices(batches):
+    for batch in _text.slices(batches):
         b, label = _Batch(batch.column(0)), batch.column(1).to_numpy()
         for c in (0, 1):
             per_word = np.bincount(b.word[label[b.text] == c], minlength=b.words)
@@ -64,7 +58,7 @@ def _features(ratio: np.ndarray):
     """(label, grams, values) of each row of (text, label), for n-grams with a ratio."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
+        for batch in _text.slices(batches):
             b = _Batch(batch.column(0))
             keep = ratio[b.gram] != 0
             owner, gram = b.owner[keep], b.gram[keep]
@@ -140,7 +134,7 @@ def score_toxicity(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id",
     model = train(labelled)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
+        for batch in _text.slices(batches, 1):
             score = model.score(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
