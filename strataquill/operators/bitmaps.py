@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strataquill.operators import graph
 from strataquill.plans.closure import closure
+from strataquill.plans.ranking import numbered
 
 #: Positions of one bucket.
 BUCKET = 32768
@@ -41,8 +42,7 @@ def reachability_bitmaps(edges: DataFrame, selected: DataFrame, placed: DataFram
 def select_commits(parents: DataFrame, tips: DataFrame, interval: int = 100) -> DataFrame:
     """(commit): tips and every ``interval``-th commit by distance from them."""
     reach = graph.ancestors(parents, tips)
-    numbered = reach.withColumn("n", F.row_number().over(Window.orderBy("depth", "node")))
-    return numbered.where((F.col("n") % interval == 0) | (F.col("depth") == 0)).select(F.col("node").alias("commit"))
+    return numbered(reach, "depth", "node", name="n").where((F.col("n") % interval == 0) | (F.col("depth") == 0)).select(F.col("node").alias("commit"))
 
 
 def union(bitmaps: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from strataquill.plans.closure import closure, longest
 from strataquill.plans.lineage import Materialised
+from strataquill.plans.ranking import numbered
 
 
 def _up(parents: DataFrame) -> DataFrame:
@@ -141,19 +142,19 @@ def bisect_candidates(parents: DataFrame, bad: DataFrame, good: DataFrame, skip:
     """(node, level, position): commits between bad and good by distance from bad, without bad; ancestors of good are not candidates."""
     stop = _nodes(good) if skip is None else _nodes(good).unionByName(_nodes(skip)).distinct()
     found = ancestors(parents, bad, stop).where("depth > 0").join(ancestors(parents, good).select("node"), "node", "left_anti")
-    return found.select("node", F.col("depth").alias("level"), F.row_number().over(Window.orderBy("depth", "node")).alias("position"))
+    return numbered(found.select("node", F.col("depth").alias("level")), "level", "node")
 
 
 def bisect_next(candidates: DataFrame) -> DataFrame:
     """(node, remaining, steps): the middle candidate and an estimate of the steps left."""
-    counted = candidates.crossJoin(candidates.agg(F.count("*").alias("remaining")))
+    counted = candidates.join(F.broadcast(candidates.agg(F.count("*").alias("remaining"))))  # one row
     return counted.where(F.col("position") == F.floor(F.col("remaining") / 2) + 1).select("node", "remaining", F.floor(F.log2("remaining")).cast("int").alias("steps"))
 
 
 def topological(commits: DataFrame, parents: DataFrame) -> DataFrame:
     """``commits`` (commit, commit_time) with position: no commit before its children, newest first among equals."""
     ranked = commits.join(generations(commits, parents), "commit")
-    return ranked.withColumn("position", F.row_number().over(Window.orderBy(F.desc("generation"), F.desc("commit_time"), "commit")))
+    return numbered(ranked, F.desc("generation"), F.desc("commit_time"), "commit")
 
 
 def wants_satisfied(parents: DataFrame, wants: DataFrame, haves: DataFrame, commits: DataFrame | None = None, earliest: int | None = None) -> DataFrame:

@@ -11,6 +11,7 @@ from strataquill.functions import diffs
 from strataquill.functions import objects as O
 from strataquill.functions.globs import wildmatch
 from strataquill.operators import graph
+from strataquill.plans.ranking import numbered
 
 
 def log(commits: DataFrame, parents: DataFrame | None = None, include: DataFrame | None = None, exclude: DataFrame | None = None, author: str | None = None, committer: str | None = None, grep: str | None = None, since: int | None = None, until: int | None = None, merges: bool | None = None, paths: list[str] | None = None, changes: DataFrame | None = None, max_entries: int | None = None, reverse: bool = False, order: str = "date") -> DataFrame:
@@ -43,7 +44,7 @@ def log(commits: DataFrame, parents: DataFrame | None = None, include: DataFrame
         keys = [F.desc("generation"), *keys]
     if max_entries is not None:
         out = out.orderBy(*keys).limit(max_entries)
-    ranked = out.withColumn("position", F.row_number().over(Window.orderBy(*keys)))
+    ranked = numbered(out, *keys)
     return ranked.orderBy(F.desc("position") if reverse else "position")
 
 
@@ -58,11 +59,14 @@ def describe(commits: DataFrame, parents: DataFrame, tags: DataFrame, head, abbr
     """(description): tag, number of commits since and short id of the first tagged commit on the walk from ``head``; the short id if there is none."""
     spark = commits.sparkSession
     start = spark.createDataFrame([(head,)], f"node {dict(commits.dtypes)['commit']}")
-    order = Window.orderBy(F.desc("commit_time"), "commit")
-    on = commits.join(graph.ancestors(parents, start).select(F.col("node").alias("commit")), "commit", "left_semi").withColumn("n", F.row_number().over(order) - 1)
-    hit = on.join(tags.groupBy(F.col("oid").alias("commit")).agg(F.min("name").alias("tag")), "commit").agg(F.min_by(F.struct("tag", "n"), "n").alias("t"))
+    on = commits.join(graph.ancestors(parents, start).select(F.col("node").alias("commit")), "commit", "left_semi")
+    tagged = on.join(tags.groupBy(F.col("oid").alias("commit")).agg(F.min("name").alias("tag")), "commit")
+    first = tagged.select(F.struct((-F.col("commit_time")).alias("t"), F.col("commit").alias("c")).alias("key"), "tag").agg(F.min_by(F.struct("tag", "key"), "key").alias("x")).select("x.tag", "x.key")
+    # What stands before the first tagged commit on the walk is counted, not numbered.
+    newer = on.join(F.broadcast(first)).where(F.struct((-F.col("commit_time")).alias("t"), F.col("commit").alias("c")) < F.col("key"))
+    hit = first.join(F.broadcast(newer.agg(F.count("*").alias("n")))).agg(F.first(F.struct("tag", "n")).alias("t"))
     short = F.substring(F.lit(str(head)), 1, abbrev)
-    return hit.select(F.when(F.col("t").isNull(), short).when(F.col("t.n") == 0, F.col("t.tag")).otherwise(F.concat(F.col("t.tag"), F.lit("-"), F.col("t.n").cast("string"), F.lit("-g"), short)).alias("description"))
+    return hit.select(F.when(F.col("t.tag").isNull(), short).when(F.col("t.n") == 0, F.col("t.tag")).otherwise(F.concat(F.col("t.tag"), F.lit("-"), F.col("t.n").cast("string"), F.lit("-g"), short)).alias("description"))
 
 
 def grep(files: DataFrame, blobs: DataFrame, pattern: str, ignore_case: bool = False, pathspecs: list[str] | None = None, max_depth: int | None = None, ignored: Column | None = None) -> DataFrame:
@@ -96,12 +100,16 @@ def cherry(mine: DataFrame, upstream: DataFrame) -> DataFrame:
 
 
 def diffstat(lines: DataFrame) -> DataFrame:
-    """(path, added, deleted, is_binary) of a unified diff as lines (line_no, line)."""
+    """(path, added, deleted, is_binary) of unified diffs as lines (line_no, line), or (diff, line_no, line) for several diffs.
+
+    The lines of one diff are one ordered group; many diffs (one for each commit, say) spread over tasks.
+    """
     head = F.regexp_extract("line", r"^diff --git a/(.*) b/(.*)$", 2)
-    order = Window.orderBy("line_no")
+    keys = ["diff"] if "diff" in lines.columns else []
+    order = Window.partitionBy(*keys).orderBy("line_no")
     tagged = lines.withColumn("path", F.last(F.nullif(head, F.lit("")), ignorenulls=True).over(order)).withColumn("hunk", F.last(F.when(F.col("line").startswith("diff --git"), 0).when(F.col("line").startswith("@@"), 1), ignorenulls=True).over(order))
     plus, minus = (F.col("hunk") == 1) & F.col("line").startswith("+"), (F.col("hunk") == 1) & F.col("line").startswith("-")
-    return tagged.where("path is not null").groupBy("path").agg(F.count_if(plus).alias("added"), F.count_if(minus).alias("deleted"), F.bool_or(F.col("line").startswith("Binary files")).alias("is_binary"))
+    return tagged.where("path is not null").groupBy(*keys, "path").agg(F.count_if(plus).alias("added"), F.count_if(minus).alias("deleted"), F.bool_or(F.col("line").startswith("Binary files")).alias("is_binary"))
 
 
 def diffstat_bars(stat: DataFrame, width: int = 40) -> DataFrame:

@@ -56,25 +56,26 @@ class RenameDetector:
 
     def detect(self, old: DataFrame, new: DataFrame, blobs: DataFrame, want_unchanged: bool = False) -> DataFrame:
         """Changes as of tree_changes, with additions that match a deletion (or, for copies, another source) as rename or copy."""
-        changes = Materialised(old.sparkSession, "renames")(tree_changes(old, new, want_unchanged=want_unchanged or self.find_copies_harder))
+        keep = Materialised(old.sparkSession, "renames")  # every step reads the one before it several times
+        changes = keep(tree_changes(old, new, want_unchanged=want_unchanged or self.find_copies_harder))
         if self.rewrite_threshold is not None:
-            changes = self._split_rewrites(changes, blobs)
+            changes = keep(self._split_rewrites(changes, blobs))
         adds = changes.where("change_type = 'add'").where(~O.is_gitlink(F.col("new_mode")))
         gone = changes.where("change_type = 'delete'").where(~O.is_gitlink(F.col("old_mode")))
         source = gone.select("old_path", "old_oid", "old_mode", F.lit(True).alias("moved"))
         if self.find_copies_harder:
             source = source.unionByName(changes.where("change_type in ('modify', 'unchanged')").select("old_path", "old_oid", "old_mode", F.lit(False).alias("moved")))
-        exact = exact_pairs(source, adds.select("new_path", "new_oid", "new_mode"))
+        exact = keep(exact_pairs(source, adds.select("new_path", "new_oid", "new_mode")))
         used_new = exact.select("new_path")
         used_old = exact.where("change_type = 'rename'").select("old_path")
         rest_new = adds.select("new_path", "new_oid", "new_mode").join(used_new, "new_path", "left_anti")
         rest_old = source.join(used_old, "old_path", "left_anti")
-        content = self._content_pairs(rest_old, rest_new, blobs)
-        found = exact.unionByName(content)
+        content = self._content_pairs(keep(rest_old), keep(rest_new), blobs)
+        found = keep(exact.unionByName(content))
         other = changes.where("change_type not in ('add', 'delete')" + ("" if want_unchanged else " and change_type <> 'unchanged'"))
         left_adds = changes.where("change_type = 'add'").join(found.select("new_path"), "new_path", "left_anti")
         left_gone = changes.where("change_type = 'delete'").join(found.where("change_type = 'rename'").select("old_path"), "old_path", "left_anti")
-        out = other.unionByName(left_adds).unionByName(left_gone).unionByName(found.select(*changes.columns))
+        out = keep(other.unionByName(left_adds).unionByName(left_gone).unionByName(found.select(*changes.columns)))
         return join_modifies(out) if self.rewrite_threshold is not None else out
 
     def _split_rewrites(self, changes: DataFrame, blobs: DataFrame) -> DataFrame:
@@ -101,23 +102,23 @@ def exact_pairs(source: DataFrame, adds: DataFrame) -> DataFrame:
     mode = lambda c: F.col(c).bitwiseAND(O.S_IFMT)
     s = source.withColumn("kind", mode("old_mode")).withColumn("n", F.row_number().over(Window.partitionBy("old_oid", "kind").orderBy(F.desc("moved"), "old_path")))
     a = adds.withColumn("kind", mode("new_mode")).withColumn("n", F.row_number().over(Window.partitionBy("new_oid", "kind").orderBy("new_path")))
+    keep = Materialised(adds.sparkSession, "exact")
+    s, a = keep(s), keep(a)
     same = (F.col("old_oid") == F.col("new_oid")) & (s["kind"] == a["kind"])
     paired = a.join(s, same & (s["n"] == a["n"]) & s["moved"]).select(F.lit("rename").alias("change_type"), "old_path", "old_oid", "old_mode", "new_path", "new_oid", "new_mode")
     copies = a.join(paired.select("new_path"), "new_path", "left_anti").join(s.where("n = 1"), same).select(F.lit("copy").alias("change_type"), "old_path", "old_oid", "old_mode", "new_path", "new_oid", "new_mode")
     return paired.unionByName(copies)
 
 
-def greedy(pairs: DataFrame, most: int = 1000) -> DataFrame:
-    """One source for each new path by falling score; a source that is used again is copied.
+def greedy(pairs: DataFrame) -> DataFrame:
+    """One source for each new path by falling score (ties by paths); a source that is used again is copied.
 
-    The sequential rule (best score first, ties by paths) is found in rounds: a pair that is the best of both its paths among those
-    left is settled. Every round settles at least the best pair of each connected group, and no group is gathered.
+    Taking pairs one after another, a new path is settled by its first pair, since a used source still serves for copies. So its
+    best pair is its choice, whatever else was taken, and a source's best choice is its rename.
     """
     keep = Materialised(pairs.sparkSession, "greedy")
     left = keep(pairs.withColumn("rank", F.struct((-F.col("score")).alias("s"), "old_path", "new_path")))
-    # A source's first use is a rename, so only the choice of the best pair for each new path matters for pairing.
-    best = keep(left.groupBy("new_path").agg(F.min("rank").alias("rank"))).select("rank")
-    chosen = left.join(best, "rank", "left_semi")
+    chosen = left.join(left.groupBy("new_path").agg(F.min("rank").alias("rank")).select("rank"), "rank", "left_semi")
     first = F.row_number().over(Window.partitionBy("old_path").orderBy("rank")) == 1
     return chosen.select(F.when(first & F.col("moved"), "rename").otherwise("copy").alias("change_type"), "old_path", "old_oid", "old_mode", "new_path", "new_oid", "new_mode")
 

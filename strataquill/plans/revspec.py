@@ -40,8 +40,8 @@ _SUFFIX = re.compile(r"~(\d*)|\^\{([a-z]*)\}|\^(\d*)|@\{([^}]*)\}")
 def split(spec: str) -> tuple[str, list[tuple[str, str]], str | None]:
     """(base, suffix operations, path) of an expression."""
     path = None
-    if ":" in spec and not spec.startswith(":"):
-        spec, path = spec.split(":", 1)
+    if m := re.match(r"((?:[^:{]|\{[^}]*\})+):(.*)$", spec):  # a colon in braces belongs to a time
+        spec, path = m[1], m[2]
     at = min([i for i in (spec.find("~"), spec.find("^"), spec.find("@{")) if i >= 0], default=len(spec))
     base, rest, ops = spec[:at], spec[at:], []
     while rest:

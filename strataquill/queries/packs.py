@@ -83,13 +83,11 @@ def rebalanced_notes(v):
 
 @query("SELECT 'f' || doc_id AS path, count(*) FILTER (l LIKE 'Th%') AS added, count(*) FILTER (l NOT LIKE 'Th%') AS deleted FROM (SELECT doc_id, unnest(string_split(data, chr(10))) AS l FROM blobs) GROUP BY doc_id")
 def diffstat(v):
-    """Added and deleted lines of a patch made of all documents."""
-    from pyspark.sql import Window
-
+    """Added and deleted lines of patches made of all documents."""
     body = v.blobs.select("doc_id", F.posexplode(F.split("data", "\n")).alias("n", "t")).select("doc_id", (F.col("n") + 2).alias("n"), F.concat(F.when(F.col("t").startswith("Th"), "+").otherwise("-"), "t").alias("line"))
     name = F.concat(F.lit("f"), F.col("doc_id").cast("string"))
     head = v.blobs.select("doc_id", F.explode(F.array(F.struct(F.lit(0).alias("n"), F.concat(F.lit("diff --git a/"), name, F.lit(" b/"), name).alias("line")), F.struct(F.lit(1).alias("n"), F.lit("@@ -1 +1 @@").alias("line")))).alias("x")).select("doc_id", "x.n", "x.line")
-    lines = head.unionByName(body).withColumn("line_no", F.row_number().over(Window.orderBy("doc_id", "n")))
+    lines = head.unionByName(body).select(F.col("doc_id").alias("diff"), F.col("n").alias("line_no"), "line")
     return history.diffstat(lines).select("path", F.col("added").cast("long").alias("added"), F.col("deleted").cast("long").alias("deleted"))
 
 
