@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from strataquill.functions import objects as O
 from strataquill.functions.text import split_lines
-from strataquill.operators import bitmaps, graph, history, refs
+from strataquill.operators import bitmaps, fsck, graph, history, refs
 from strataquill.plans.closure import closure
 from strataquill.queries import query
 
@@ -395,3 +395,13 @@ def canonical_identities(v):
 def line_counts(v):
     """Number of lines of every document."""
     return v.table("documents").select("doc_id", F.size(split_lines(F.coalesce("text", F.lit("")))).cast("long").alias("n_lines"))
+
+
+@query("SELECT id AS oid, 'missing ' || parent AS problem FROM parents WHERE parent NOT IN (SELECT id FROM commits WHERE author <> 'user7') UNION ALL SELECT id, 'bad-time' FROM commits WHERE commit_time < 1704150000 UNION ALL SELECT id, 'bad-author' FROM commits WHERE author = 'user3'")
+def consistency(v):
+    """Commits with parents that a store lacks, early times and malformed authors."""
+    known = v.commits.where("author <> 'user7'").select(F.col("commit").alias("oid"))
+    lost = fsck.links(v.parents.select(F.col("commit").alias("src"), F.col("parent").alias("dst")), known)
+    author = F.when(F.col("author") == "user3", "no address").otherwise(F.concat("author", F.lit(" <a@b>")))
+    odd = fsck.commits(v.commits.select("commit", F.lit("a" * 40).alias("tree"), author.alias("author"), (F.col("commit_time") - 1704150000).alias("commit_time")))
+    return lost.unionByName(odd)
