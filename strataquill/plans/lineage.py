@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -14,7 +16,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The session's checkpoint folder; without one (single-machine tests), a temporary folder."""
     found = spark.conf.get(_KEY, None) or spark.sparkContext.getConf().get(_KEY)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="strataquill-")
+        made = tempfile.mkdtemp(prefix="strataquill-")
+        atexit.register(shutil.rmtree, made, True)
+        found = f"file://{made}"
         spark.conf.set(_KEY, found)
     return found.rstrip("/")
 
