@@ -2,26 +2,16 @@
 
 Iterative and multi-pass operators cut their lineage by writing Parquet below ``spark.checkpoint.dir``:
 a lost executor then costs a re-read, never a recomputation of an earlier pass with other contents.
-Where the setting is absent (single-machine tests) a folder under the system's temp directory is used.
+Where the setting is absent (single-machine tests) a temporary folder of this process is used.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_KEY = "spark.checkpoint.dir"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by the session, else one made for this process."""
-    found = spark.conf.get(_KEY, None) or spark.sparkContext.getConf().get(_KEY)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="strataquill-")
-        spark.conf.set(_KEY, found)
-    return found.rstrip("/")
+from strataquill.plans.lineage import shared_dir
 
 
 class Scratch:

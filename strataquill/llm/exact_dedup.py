@@ -120,6 +120,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spread = docs.select(F.spark_partition_id().alias("sender"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("pos"), F.unhex(F.sha2(norm(F.col(text_col)), 256)).alias("sha"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     spread.write.option("compression", "zstd").option("path", scratch.path("rows")).bucketBy(width, "sender").saveAsTable(name)
     rows = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the plan knows files and buckets; the table's name need not stay in the catalog
     n = rows.count()
     bits = min(60, max(8, math.ceil(math.log2(max(n, 2))) + extra_bits))
     shift = max(0, bits - int(math.log2(width)))
