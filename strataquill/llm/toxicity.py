@@ -25,7 +25,7 @@ SMOOTH = 20.0
 #: Ratios nearer to zero count as zero.
 LEAST = 0.3
 #: Labels are sent to every task up to so many rows (16 bytes each).
-SENT_LABELS = 2_000_000
+SENT_LABELS = 1_000_000
 
 
 class _Batch:
@@ -93,9 +93,9 @@ class ToxicityModel:
 
 
 def train(labelled: DataFrame, sample: int = SAMPLE) -> ToxicityModel:
-    """A model from rows of (key, text, label 0 or 1). Counts take in every row; the regression's sample is bounded.
+    """A model from rows of (text, label 0 or 1). Counts take in every row; the regression's sample is bounded.
 
-    The sample is the rows of each class with the smallest hashes of their keys, weighted back to the classes' shares.
+    The sample is drawn at random from each class and weighted back to the classes' shares.
     """
     rows = labelled.select(F.coalesce("text", F.lit("")).alias("text"), F.col("label").cast("int").alias("label"))
     sizes = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -106,17 +106,21 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> ToxicityModel:
     share = (counts.sum(axis=1) + 1) / (counts.sum() + 2)
     ratio = np.log((counts[1] + SMOOTH * share[1]) / (counts[0] + SMOOTH * share[0])) - np.log(share[1] / share[0])
     ratio[np.abs(ratio) < LEAST] = 0
-    run = _features(ratio)
-    row, column, value, target, weight = [], [], [], [], []
-    for c in (0, 1):
-        some = labelled.where(F.col("label") == c).withColumn("h", F.xxhash64("key")).orderBy("h", "text").limit(sample)
-        got = some.select(F.coalesce("text", F.lit("")).alias("text"), F.col("label").cast("int").alias("label")).mapInArrow(run, "label int, grams array<int>, values array<float>").toArrow()
-        for g, v in zip(got.column("grams").to_pylist(), got.column("values").to_pylist()):
+    # Each class is thinned at random where its rows are; what is left is fewer than ``sample`` but for odds of e**-15.
+    share_of = {c: 1.0 if n <= sample else 0.9 * sample / n for c, n in sizes.items()}
+    some = rows.withColumn("u", F.rand(23)).where(F.col("u") < F.when(F.col("label") == 1, share_of.get(1, 1.0)).otherwise(share_of.get(0, 1.0))).select("text", "label")
+    got = some.mapInArrow(_features(ratio), "label int, grams array<int>, values array<float>").toArrow()
+    row, column, value, target = [], [], [], []
+    left = dict.fromkeys(sizes, sample)
+    for label, g, v in zip(got.column("label").to_pylist(), got.column("grams").to_pylist(), got.column("values").to_pylist()):
+        left[label] -= 1
+        if left[label] >= 0:
             row.append(np.full(len(g), len(target)))
             column.append(np.array(g, np.int64))
             value.append(np.array(v))
-            target.append(c)
-            weight.append(sizes[c] / got.num_rows)
+            target.append(label)
+    each = [sizes.get(c, 0) / max(1, target.count(c)) for c in (0, 1)]
+    weight = [each[c] for c in target]
     if not target:
         return ToxicityModel(np.zeros(1 << BITS), 0.0)
     column = np.concatenate(column)
@@ -125,7 +129,7 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> ToxicityModel:
 
 
 def score_toxicity(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, score and predicted of every row of ``docs`` by a model trained on ``labelled`` (key, text, label).
+    """doc_id, score and predicted of every row of ``docs`` by a model trained on ``labelled`` (text, label).
 
     Null texts count as empty and, like texts of white space, get the score of a text without features. Without labelled rows
     every score is one half; with one class only, near that class. Rows are scored one by one: repeated rows
@@ -153,6 +157,6 @@ def op10_nb_scaled_toxicity(spark, sf_dir: str) -> DataFrame:
     labels = labels.groupBy("doc_id").agg(F.max("toxic").alias("label"))
     if labels.count() <= SENT_LABELS:
         labels = F.broadcast(labels)
-    labelled = docs.join(labels, "doc_id").select(F.col("doc_id").alias("key"), "text", "label")
+    labelled = docs.join(labels, "doc_id").select("text", "label")
     scored = score_toxicity(docs, labelled)
     return scored.select("doc_id", F.coalesce(remainder(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
