@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql.functions import pandas_udf
 
+from strataquill.shipping import ship
+
 
 def vectorised(kind: str) -> Callable[[Callable], Callable[..., Column]]:
     def wrap(f: Callable) -> Callable[..., Column]:
         def call(*columns: Column) -> Column:
+            ship(SparkSession.getActiveSession() or SparkSession.builder.getOrCreate())
             return pandas_udf(f, kind)(*columns)
 
         call.__doc__, call.__name__, call.plain = f.__doc__, f.__name__, f

@@ -118,7 +118,7 @@ def name_hash(name: Column) -> Column:
 
 def is_binary(data: Column) -> Column:
     """Whether a NUL is among the first 8000 bytes."""
-    return F.hex(F.substring(data.cast("binary"), 1, 8000)).rlike("^(..)*00")
+    return F.decode(F.substring(data.cast("binary"), 1, 8000), "ISO-8859-1").contains("\0")
 
 
 def lfs_pointer(text: Column) -> Column:

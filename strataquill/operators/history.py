@@ -12,6 +12,7 @@ from strataquill.functions import objects as O
 from strataquill.functions.globs import wildmatch
 from strataquill.operators import graph
 from strataquill.plans.ranking import numbered
+from strataquill.shipping import ship
 
 
 def log(commits: DataFrame, parents: DataFrame | None = None, include: DataFrame | None = None, exclude: DataFrame | None = None, author: str | None = None, committer: str | None = None, grep: str | None = None, since: int | None = None, until: int | None = None, merges: bool | None = None, paths: list[str] | None = None, changes: DataFrame | None = None, max_entries: int | None = None, reverse: bool = False, order: str = "date") -> DataFrame:
@@ -132,6 +133,7 @@ def annotate(revisions: DataFrame) -> DataFrame:
             known = diffs.reattribute(known, (data or "").splitlines(keepends=True), commit)
         return pd.DataFrame({"path": group["path"].iloc[0], "line_no": np.arange(1, len(known) + 1), "line": [x for x, _ in known], "commit": [c for _, c in known]})
 
+    ship(revisions.sparkSession)
     kind = dict(revisions.dtypes)["commit"]
     return revisions.select("path", "position", "commit", "data").groupBy("path").applyInPandas(fold, f"path string, line_no long, line string, commit {kind}")
 

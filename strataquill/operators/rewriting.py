@@ -13,6 +13,7 @@ from strataquill.functions import people
 from strataquill.functions import text as X
 from strataquill.operators import graph, store
 from strataquill.plans.lineage import Materialised
+from strataquill.shipping import ship
 from strataquill.sources import files as stored
 from strataquill.sources import packs
 
@@ -112,6 +113,7 @@ def pack_partitions(objects: DataFrame, window: int = 10) -> DataFrame:
 
     import pandas as pd
 
+    ship(objects.sparkSession)
     ordered = objects.select("type", "path", "size", "data").sortWithinPartitions("type", "path", F.desc("size"))
 
     def run(frames):

@@ -9,6 +9,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
+from strataquill.shipping import ship
+
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
 
@@ -19,6 +21,7 @@ def query(sql: str | None = None) -> Callable[[Callable[..., DataFrame]], Callab
 
     def wrap(f: Callable[..., DataFrame]) -> Callable:
         def run(spark, sf_dir: str) -> DataFrame:
+            ship(spark)
             return f(Views(spark, sf_dir))
 
         run.__doc__ = f.__doc__

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from strataquill.functions import people
 from strataquill.operators import refs
+from strataquill.shipping import ship
 from strataquill.sources import packs
 
 
@@ -140,6 +141,7 @@ def mail_columns(messages: DataFrame) -> DataFrame:
     """``messages`` (…, message) with author, email, subject, body and patch."""
     from strataquill.functions.records import mail_info
 
+    ship(messages.sparkSession)
     schema = ", ".join(f"`{c}` {t}" for c, t in messages.dtypes) + ", author string, email string, subject string, body string, patch string"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

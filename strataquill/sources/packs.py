@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from strataquill.functions import codecs
 from strataquill.functions import objects as O
 from strataquill.plans.lineage import Materialised
+from strataquill.shipping import ship
 
 TYPES = {1: "commit", 2: "tree", 3: "blob", 4: "tag", 6: "ofs_delta", 7: "ref_delta"}
 NUMBERS = {v: k for k, v in TYPES.items()}
@@ -22,6 +23,7 @@ _MAGIC = b"\377tOc"
 
 def rows_of(spark: SparkSession, path: str, decode: Callable[[bytes], Iterator[tuple]], schema: str) -> DataFrame:
     """(file, …) rows that ``decode`` gives for each file's bytes; a file is one task's work, files are spread over tasks."""
+    ship(spark)
     names = [c.split()[0] for c in schema.split(",")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -8,11 +8,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 from strataquill.operators import graph
+from strataquill.shipping import ship
 from strataquill.sources import packs
 
 
 def read_pack_stream(spark: SparkSession, path: str, files_per_trigger: int = 10) -> DataFrame:
     """(file, offset, kind, size, base_offset, base_oid, crc32, data) of packs as they land; resolve() them batch by batch."""
+    ship(spark)
     schema = "file string, offset long, kind string, size long, base_offset long, base_oid string, crc32 long, data binary"
     landed = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("maxFilesPerTrigger", files_per_trigger).load(path)
 
