@@ -12,12 +12,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from strataquill.plans.lineage import shared_dir
+from strataquill.shipping import ship
 
 
 class Scratch:
     """A folder of intermediate tables of one operator call."""
 
     def __init__(self, spark: SparkSession, name: str):
+        ship(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/strataquill/{name}-{uuid.uuid4().hex[:12]}"
 

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataquill.llm._store import shuffle_width
+from strataquill.shipping import ship
 
 CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]")
 TEMPLATE = "{% for m in messages %}<s>[INST]{{ m.role | guard }}[/INST]{% if m.role == 'assistant' %}{% generation %}{{ m.text | guard }}{% endgeneration %}{% else %}{{ m.text | guard }}{% endif %}</s>{% endfor %}"
@@ -458,6 +459,7 @@ def format_conversations(turns: DataFrame, template: str = TEMPLATE, conv_col: s
     conversation is one row unless it is longer than a million characters: then its chunks, cut between turns, follow
     each other in the same partition, and neither rendering nor reading back holds more than one of them.
     """
+    ship(turns.sparkSession)
     compiled = Template(template)  # errors show here, not on an executor
     assert compiled.tree
     rows = turns.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

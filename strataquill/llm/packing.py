@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataquill.llm._store import Scratch
+from strataquill.shipping import ship
 
 CAPACITY = 4096
 END_ID = 1
@@ -131,6 +132,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
     A document is its ids and then ``end_id``. Only documents longer than ``capacity`` are cut. A null text counts as
     empty and gives one piece of length 1; rows are never merged, so repeated rows give repeated pieces.
     """
+    ship(docs.sparkSession)
     id_type = dict(docs.dtypes)[id_col]
     schema = f"doc_id {id_type}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
     end = int(end_id).to_bytes(4, "little")

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataquill.llm import _linear, _text
+from strataquill.shipping import ship
 
 #: Rows at most in the regression's sample.
 SAMPLE = 12_000
@@ -210,6 +211,7 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     good texts, so they are kept. Rows are judged one by one: repeated rows repeat, an empty table gives an empty
     result. With ``carry`` the columns come in a struct ``row``, so that no name clashes.
     """
+    ship(docs.sparkSession)
     model = train(docs, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataquill.llm import _linear, _text
+from strataquill.shipping import ship
 
 SIZES = (3, 4, 5)
 BITS = 18
@@ -135,6 +136,7 @@ def score_toxicity(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id",
     every score is one half; with one class only, near that class. Rows are scored one by one: repeated rows
     repeat, an empty table gives an empty result, other columns are ignored.
     """
+    ship(docs.sparkSession)
     model = train(labelled)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
