@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -59,8 +59,17 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 BLOCK = 1 << 20
 
 
+#: Functions that drop caches which other operators left in this process: workers serve one stage after another.
+HELD: list[Callable[[], None]] = []
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: int = 0, most_bytes: int = BLOCK, most_rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """Parts of Arrow batches with a bounded number of rows and, but for single long texts, of text bytes in ``column``."""
+    """Parts of Arrow batches with a bounded number of rows and, but for single long texts, of text bytes in ``column``.
+
+    Caches of other operators in this process are dropped first.
+    """
+    for drop in HELD:
+        drop()
     for whole in batches:
         sizes = pc.binary_length(whole.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
         ends = np.cumsum(sizes)

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strataquill.llm import _text
 from strataquill.llm._store import Scratch
 from strataquill.shipping import ship
 
@@ -117,6 +118,7 @@ class WordEncoder:
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
+_text.HELD.append(_ENCODERS.clear)
 
 
 def word_encoder(path: str) -> WordEncoder:
