@@ -323,7 +323,7 @@ def range_diff(v):
 # Reflogs and refs --------------------------------------------------------------------------------------------
 
 
-@query("SELECT b.branch AS ref, t.at, coalesce((SELECT max_by(new, seq) FROM reflog r WHERE r.ref = b.branch AND r.ts <= t.at), -1) AS oid FROM branches b, (SELECT unnest([1704200000, 1705000000, 1706500000]) AS at) t")
+@query("SELECT b.branch AS ref, t.at, coalesce((SELECT max_by(new, seq) FROM reflog r WHERE r.ref = b.branch AND r.ts <= t.at), -1) AS oid FROM branches b, (SELECT CAST(unnest([1704200000, 1705000000, 1706500000]) AS BIGINT) AS at) t")
 def reflog_at_time(v):
     """Every branch's value at three times."""
     probes = v.branches.select(F.col("branch").alias("ref"), F.explode(F.array(*[F.lit(t).cast("long") for t in (1704200000, 1705000000, 1706500000)])).alias("at"))
