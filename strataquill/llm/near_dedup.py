@@ -7,10 +7,14 @@
 3. Nodes with a common prefix are a region. A region of at most ``BLOCK`` nodes is compared at once by the
    signatures' agreement. A larger one is met twice: its nodes are set against the region's most typical
    node, in blocks, and the region is divided by the next minimum, as deep as needed. At full depth it is cut
-   into overlapping blocks.
+   into overlapping blocks; ties are in another order in each tree.
 4. What agrees well enough forms candidate groups of at most ``BLOCK`` + 1 nodes. Equal groups of several trees are one. The
    groups' full shingle sets are fetched and intersected exactly; confirmed links become edges to the group's root.
-5. Connected components over the edges give each node, and so each document, its class.
+5. Connected components over the edges give each node its class so far.
+6. What large regions may have left out is met after that: the minima are read again as ``BANDS`` cells of ``TREES * DEPTH / BANDS``
+   minima, and in each cell all nodes of different classes are compared, whatever the cell's size. Cells of more than ``BLOCK`` nodes
+   are dealt out as pairs of blocks over tasks; the nodes of the cell's largest class need not meet each other, so a family that
+   hangs together costs nothing. Candidates are confirmed as before, and their links join classes.
 """
 
 from __future__ import annotations
@@ -34,6 +38,8 @@ BLOCK = 256
 SLACK = 0.17
 #: Agreement at which a node needs no further search beside the typical node of its region.
 SURE = 0.96
+#: Cells of four minima: a link of similarity s has no cell of its own with odds (1 - s**4)**24, 2e-8 at 0.85 and 3e-6 at 0.8.
+BANDS = 24
 _U = np.uint64
 
 
@@ -224,6 +230,62 @@ def _candidates(least: float):
     return run, schema
 
 
+def _meet(least: float):
+    """Candidate groups among nodes of different classes, from rows (unit, node, root, low) sorted by unit; a unit is held whole."""
+    schema = "gid binary, nodes array<binary>"
+    out_schema = pa.schema([("gid", pa.binary()), ("nodes", pa.list_(pa.binary()))])
+
+    def groups(table: pa.Table, at: list[int]) -> pa.RecordBatch:
+        nodes, found = table.column(1).to_pylist(), {}
+        root = np.unique(np.array([x.hex() for x in table.column(2).to_pylist()]), return_inverse=True)[1]
+        low = np.frombuffer(b"".join(table.column(3).to_pylist()), np.uint8).reshape(-1, TREES * DEPTH)
+        for a, b in zip(at, [*at[1:], len(nodes)]):
+            if b - a == 2:
+                parts = [[a, a + 1]] if root[a] != root[a + 1] and (low[a] == low[a + 1]).mean() >= least else []
+            else:
+                near = (low[a:b, None, :] == low[None, a:b, :]).mean(axis=2) >= least
+                label = _labels(near & (root[a:b, None] != root[None, a:b]))
+                parts = [(a + np.flatnonzero(label == x)).tolist() for x, n in zip(*np.unique(label, return_counts=True)) if n > 1]
+            for part in parts:
+                g = [nodes[i] for i in part]
+                found[hashlib.blake2b(b"".join(sorted(g)), digest_size=16).digest()] = g
+        return pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), out_schema.field("nodes").type)], schema=out_schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([*held, batch])
+            unit = table.column(0).to_numpy()
+            at = np.flatnonzero(np.append(True, unit[1:] != unit[:-1])).tolist()
+            if at[-1]:
+                yield groups(table.slice(0, at[-1]), at[:-1])
+            held = table.slice(at[-1]).to_batches()  # the last unit may go on in the next batch
+        if held:
+            yield groups(pa.Table.from_batches(held), [0])
+
+    return run, schema
+
+
+def _units(classes: DataFrame, rooted: DataFrame, scratch: Scratch) -> DataFrame:
+    """(unit, node, root, low): each two nodes of different classes that share a cell are in one unit at least, of about BLOCK rows at most."""
+    wide = 4 * TREES * DEPTH // BANDS
+    cell = F.explode(F.array(*[F.xxhash64(F.lit(b), F.substring("sig", wide * b + 1, wide)) for b in range(BANDS)]))
+    cells = rooted.join(classes.select("node", "sig"), "node").select(cell.alias("cell"), "node", "root")
+    mixed = cells.groupBy("cell", "root").agg(F.count("*").alias("n")).groupBy("cell")
+    mixed = scratch.write(mixed.agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("root", "n").alias("top")).where("n > most"), "mixed")
+    half = BLOCK // 2
+    rows = cells.join(mixed, "cell").join(classes.select("node", "low"), "node")
+    rows = rows.withColumn("tops", F.ceil(F.col("most") / half)).withColumn("rests", F.ceil((F.col("n") - F.col("most")) / half)).withColumn("h", F.xxhash64("cell", "node"))
+    rows = rows.withColumn("is_top", F.col("root") == F.col("top")).withColumn("at", F.when(F.col("is_top"), -1 - F.expr("pmod(h, tops)")).otherwise(F.expr("pmod(h, rests)")))
+    pair = lambda a, b: F.xxhash64("cell", a, b)
+    rests = F.transform(F.expr("sequence(0L, rests - 1)"), lambda r: F.when(F.col("is_top"), pair(r, F.col("at"))).otherwise(pair(F.least(r, "at"), F.greatest(r, "at"))))
+    tops = F.when(F.col("is_top"), F.expr("array()").cast("array<bigint>")).otherwise(F.transform(F.expr("sequence(1L, tops)"), lambda t: pair(F.col("at"), -t)))
+    unit = F.when(F.col("n") <= BLOCK, F.array("cell")).otherwise(F.concat(rests, tops))
+    return rows.select(F.explode(unit).alias("unit"), "node", "root", "low")
+
+
 def confirm(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
     """Component of each set (smallest index) under links with den * intersection >= num * union."""
     n = len(sets)
@@ -298,17 +360,33 @@ def near_dedup(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, i
     signed = scratch.write(base.mapInArrow(run, schema), "signed")
     classes = scratch.write(signed.where("n_shingles > 0").groupBy("node").agg(F.first("sig").alias("sig"), F.first("low").alias("low"), F.min("doc_id").alias("least")), "classes")
     trees = classes.select(F.explode(F.array(*[F.struct(F.lit(t).alias("tree"), F.substring("sig", 4 * DEPTH * t + 1, 4 * DEPTH).alias("key")) for t in range(TREES)])).alias("x"), "low", "node")
-    trees = trees.select("x.key", "low", "node", "x.tree").repartitionByRange(shuffle_width(spark), "tree", "key", "node").sortWithinPartitions("tree", "key", "node")
+    trees = trees.select("x.key", "low", "node", "x.tree", F.xxhash64("x.tree", "node").alias("tie"))
+    trees = trees.repartitionByRange(shuffle_width(spark), "tree", "key", "tie", "node").sortWithinPartitions("tree", "key", "tie", "node")
     run, schema = _candidates(num / den - SLACK)
     groups = scratch.write(trees.mapInArrow(run, schema).groupBy("gid").agg(F.first("nodes").alias("nodes")), "groups")
-    members = groups.select("gid", F.explode("nodes").alias("node"))
-    wanted = members.select("node").distinct()
-    bits = min(27, max(15, (16 * max(1, wanted.count())).bit_length()))
-    sets = base.select("text").mapInArrow(_fetch(words, bits, _bitmap(wanted, bits)), "node binary, members binary")
-    sets = sets.groupBy("node").agg(F.first("members").alias("members"))
-    edges = members.join(sets, "node").groupBy("gid").applyInArrow(_confirm(num, den), "u binary, v binary")
-    linked = components(edges, scratch)
-    labelled = classes.select("node", "least").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    def confirmed(groups: DataFrame) -> DataFrame:
+        members = groups.select("gid", F.explode("nodes").alias("node"))
+        wanted = members.select("node").distinct()
+        bits = min(27, max(15, (16 * max(1, wanted.count())).bit_length()))
+        sets = base.select("text").mapInArrow(_fetch(words, bits, _bitmap(wanted, bits)), "node binary, members binary")
+        sets = sets.groupBy("node").agg(F.first("members").alias("members"))
+        return members.join(sets, "node").groupBy("gid").applyInArrow(_confirm(num, den), "u binary, v binary")
+
+    linked = components(confirmed(groups), scratch)
+    rooted = scratch.write(classes.select("node").join(linked, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "rooted")
+    run, schema = _meet(num / den - SLACK)
+    units = _units(classes, rooted, scratch).repartition(shuffle_width(spark), "unit").sortWithinPartitions("unit", "node")
+    more = units.mapInArrow(run, schema).groupBy("gid").agg(F.first("nodes").alias("nodes")).join(groups.select("gid"), "gid", "left_anti")
+    more = scratch.write(more, "more")
+    if not more.isEmpty():
+        edges = confirmed(more)
+        for end in ("u", "v"):
+            edges = edges.join(rooted.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root")), end)
+        joined = components(edges.select(F.col("u_root").alias("u"), F.col("v_root").alias("v")), Scratch(spark, "near-dedup-more"))
+        joined = joined.select(F.col("node").alias("root"), F.col("root").alias("whole"))
+        rooted = rooted.join(joined, "root", "left").select("node", F.coalesce("whole", "root").alias("root"))
+    labelled = classes.select("node", "least").join(rooted, "node")
     lowest = labelled.where("root <> node").groupBy("root").agg(F.min("least").alias("other"))
     roots = labelled.where("root = node").join(lowest, "root", "left").select("root", F.least("least", "other").alias("component"))
     of_node = scratch.write(labelled.join(roots, "root").select("node", "component"), "of_node")

@@ -127,6 +127,22 @@ def test_near_on_a_group_larger_than_a_block(make):
     assert got == brute_near(rows, 3, 85, 100)
 
 
+def test_near_links_of_texts_beside_the_typical_one(make):
+    """Texts that are linked only with one copy in a large region, which is itself all but equal to the typical text."""
+    rng = random.Random(7)
+    base = [f"w{i}" for i in range(300)]
+    rows = [(i, " ".join([*base, f"n{i}"])) for i in range(2 * N.BLOCK)]
+    for g in range(30):
+        one = [*base[:-3], *(f"c{g}-{i}" for i in range(4))]
+        far = one[:280] + [f"d{g}-{i}" for i in range(16)] + one[-4:]
+        at = rng.randrange(0, 250)
+        far[at : at + 3] = [f"e{g}-{i}" for i in range(3)]
+        rows += [(1000 + 2 * g, " ".join(one)), (1001 + 2 * g, " ".join(far))]
+    want = brute_near(rows, 3, 85, 100)
+    assert {x for _, _, x in want} == {"0"}
+    assert near(make(rows), words=3, num=85) == want
+
+
 def test_confirm_is_exact():
     rng = np.random.default_rng(3)
     sets = [np.unique(rng.integers(0, 60, rng.integers(1, 50)).astype(np.uint64)) for _ in range(40)]
