@@ -86,14 +86,14 @@ def split_history(commits: DataFrame, parents: DataFrame, folders: DataFrame) ->
     return rewrite(rows, parents, drop=F.coalesce(F.col("sq_same"), F.lit(False)) | F.col("tree").isNull())
 
 
-def follow(changes: DataFrame, order: DataFrame, path: str, most: int = 1000) -> DataFrame:
+def follow(changes: DataFrame, order: DataFrame, path: str) -> DataFrame:
     """(commit, position, path): changes (commit, change_type, old_path, new_path) of a path, newest first by ``order`` (commit, position), followed through renames.
 
     Each turn reads the path's own changes and stops at the newest rename into it; a path has few renames.
     """
     spark, out, start = changes.sparkSession, [], 0
     ordered = Materialised(spark, "follow")(changes.join(order, "commit"))
-    for _ in range(most):
+    while True:
         own = ordered.where((F.col("new_path") == path) | (F.col("old_path") == path)).where(F.col("position") >= start)
         turn = own.where(F.col("change_type").isin("rename", "copy") & (F.col("new_path") == path)).orderBy("position").limit(1).collect()
         rows = own.select("commit", "position", F.lit(path).alias("path"))

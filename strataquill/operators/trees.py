@@ -92,7 +92,7 @@ def merge3(base: DataFrame, ours: DataFrame, theirs: DataFrame) -> DataFrame:
     return j.select("path", rule.alias("r")).select("path", "r.oid", "r.mode", "r.outcome").where("outcome <> 'drop'")
 
 
-def flatten(tree_entries: DataFrame, roots: DataFrame, include_trees: bool = False, most: int = 200) -> DataFrame:
+def flatten(tree_entries: DataFrame, roots: DataFrame, include_trees: bool = False) -> DataFrame:
     """(root, path, mode, oid, depth) of everything below ``roots`` (root = id of a tree); submodules are not entered.
 
     ``tree_entries`` is (tree, name, mode, oid). One join per level of depth; every tree is expanded once per place it stands at.
@@ -100,7 +100,7 @@ def flatten(tree_entries: DataFrame, roots: DataFrame, include_trees: bool = Fal
     keep = Materialised(roots.sparkSession, "flatten")
     level = roots.select("root", F.lit("").alias("path"), F.lit(O.S_IFDIR).alias("mode"), F.col("root").alias("oid"), F.lit(0).alias("depth"))
     out = []
-    for _ in range(most):
+    while True:
         dirs = level.where(O.is_dir(F.col("mode"))).select("root", F.col("path").alias("above"), F.col("oid").alias("tree"), "depth")
         path = F.when(F.col("above") == "", F.col("name")).otherwise(F.concat_ws("/", "above", "name"))
         level = keep(dirs.join(tree_entries.select("tree", "name", "mode", "oid"), "tree").select("root", path.alias("path"), "mode", "oid", (F.col("depth") + 1).alias("depth")))

@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 from strataquill.plans.lineage import Materialised
 
 STRIDE = 4
+FOLD = 32
 
 
-def closure(edges: DataFrame, seeds: DataFrame, stop: DataFrame | None = None, max_depth: int | None = None, keys: tuple[str, ...] = (), most: int = 4000) -> DataFrame:
+def closure(edges: DataFrame, seeds: DataFrame, stop: DataFrame | None = None, max_depth: int | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
     """(*keys, node, depth): every node that ``edges`` (src, dst) lead to from ``seeds`` (*keys, node), with its least depth.
 
     Nodes in ``stop`` (node) are neither entered nor expanded; ``max_depth`` bounds the number of edges. With ``keys`` each
@@ -31,7 +32,8 @@ def closure(edges: DataFrame, seeds: DataFrame, stop: DataFrame | None = None, m
         start = start.join(stop.select("node"), "node", "left_anti").select(*by, "depth")
     seen = keep(start)
     frontier, depth = seen, 0
-    while depth < most and (max_depth is None or depth < max_depth):
+    parts = [seen]
+    while max_depth is None or depth < max_depth:
         stride = STRIDE if max_depth is None else min(STRIDE, max_depth - depth)
         levels, last = [], frontier
         for _ in range(stride):
@@ -44,18 +46,27 @@ def closure(edges: DataFrame, seeds: DataFrame, stop: DataFrame | None = None, m
         depth += stride
         if found.isEmpty():
             break
-        seen = seen.unionByName(found)
+        parts = _folded(parts, found, keep)
+        seen = reduce(DataFrame.unionByName, parts)
         frontier = found.where(F.col("depth") == depth)
     return seen
 
 
-def longest(edges: DataFrame, roots: DataFrame, most: int = 4000) -> DataFrame:
-    """(node, depth): the length of the longest path from ``roots`` (node) along ``edges`` (src, dst) of an acyclic graph."""
+def _folded(parts: list[DataFrame], found: DataFrame, keep: Materialised) -> list[DataFrame]:
+    """``parts`` and ``found``; each FOLD rounds' tables become one, so that a deep graph's plans stay small."""
+    return [*parts, found] if len(parts) < FOLD else [keep(reduce(DataFrame.unionByName, [*parts, found]))]
+
+
+def longest(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, depth): the length of the longest path from ``roots`` (node) along ``edges`` (src, dst) of an acyclic graph.
+
+    A path with more edges than there are sources comes from a cycle and raises a ValueError.
+    """
     keep = Materialised(roots.sparkSession, "longest")
     edges = edges.select("src", "dst")
     frontier = keep(roots.select("node").distinct().withColumn("depth", F.lit(0)))
-    seen, depth = frontier, 0
-    while depth < most:
+    parts, depth, sources = [frontier], 0, None
+    while True:
         levels, last = [], frontier
         for _ in range(STRIDE):
             last = last.join(edges, last["node"] == edges["src"]).select(F.col("dst").alias("node"), (F.col("depth") + 1).alias("depth")).distinct()
@@ -64,6 +75,10 @@ def longest(edges: DataFrame, roots: DataFrame, most: int = 4000) -> DataFrame:
         depth += STRIDE
         if found.isEmpty():
             break
-        seen = seen.unionByName(found)
+        if depth >= 32:
+            sources = edges.select("src").distinct().count() if sources is None else sources
+            if depth - STRIDE >= sources:
+                raise ValueError("longest: the graph has a cycle")
+        parts = _folded(parts, found, keep)
         frontier = found.where(F.col("depth") == depth)
-    return seen.groupBy("node").agg(F.max("depth").alias("depth"))
+    return reduce(DataFrame.unionByName, parts).groupBy("node").agg(F.max("depth").alias("depth"))

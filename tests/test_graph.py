@@ -1,8 +1,11 @@
 """Common ancestors, walks and sets of missing objects on small graphs with known answers."""
 
+import inspect
+import sys
+
 import pytest
 
-from strataquill.operators import graph
+from strataquill.operators import graph, rewriting, trees
 from strataquill.plans.closure import closure, longest
 
 
@@ -56,6 +59,22 @@ def test_depth_and_generation_of_a_long_chain(spark):
     assert graph.depth_of(p, ids(spark, n - 1), 5).first().depth == 5
 
 
+def test_closures_have_no_bound_on_depth(spark, monkeypatch):
+    """4000 links take a thousand jobs, so the bounds are looked for by name and the tables' folding is met on a shorter chain."""
+    for f in (closure, longest, trees.flatten, rewriting.follow):
+        assert "most" not in inspect.signature(f).parameters
+    monkeypatch.setattr(sys.modules[closure.__module__], "FOLD", 2)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(18)], "src long, dst long")
+    want = [(i, i) for i in range(19)]
+    assert sorted(map(tuple, closure(edges, ids(spark, 0)).collect())) == want
+    assert sorted(map(tuple, longest(edges, ids(spark, 0)).collect())) == want
+
+
+def test_longest_raises_on_a_cycle(spark):
+    with pytest.raises(ValueError, match="cycle"):
+        longest(spark.createDataFrame([(0, 1), (1, 2), (2, 1)], "src long, dst long"), ids(spark, 0))
+
+
 def test_shallow_overlaps(spark):
     p = parents(spark, [[3, 2, 1], [2, 1]])
     at, before = graph.shallow(p, ids(spark, 3), 2)
