@@ -1,10 +1,13 @@
 """Document scores by masked pseudo-likelihood of a bidirectional window network trained in numpy.
 
-Words are hashed to buckets; a count over the whole corpus names the most frequent buckets, which are tokens of their own, and
-the others share a few classes. The network predicts each token from the tokens up to RADIUS before and after it, itself left
+Words are hashed to buckets; a count over the whole corpus names the most frequent buckets, which are classes of their own, and
+the others share a few classes. The network predicts each word's class, the word's share of its class follows from counts of all words of the
+corpus, and a word's probability is their product, which sums to 1 over all words. The commonest SHIPPED words' counts go to the
+tasks, those of all others are joined. The network predicts each class from the tokens up to RADIUS before and after it, itself left
 out: embeddings by offset are summed, passed through tanh and a softmax layer. Every task trains a copy on all of its
 documents; copies are averaged by their numbers of tokens, summed weight by weight in a shuffle, so neither the counts
-nor the training rest on a sample. A document's score is the sum of its tokens' conditional log-probabilities.
+nor the training rest on a sample. A document's scores are the sums of its words' and of
+their classes' conditional log-probabilities.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataquill.llm import _text
+from strataquill.llm._store import Scratch
 from strataquill.shipping import ship
 
 BUCKETS = 1 << 16
@@ -25,13 +29,27 @@ TOKENS = FREQUENT + CLASSES
 RADIUS, WIDTH = 2, 12
 STEP = 2048
 RATE = 0.02
+#: At most so many words' counts are sent to tasks.
+SHIPPED = 1 << 17
 
 
-def _buckets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
-    """(bucket of each word, its text, number of texts)."""
+def _hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
+    """(hash of each word, its text, number of texts)."""
     data, offsets = _text.utf8(texts)
     hashes, _, _, text = _text.words(data, offsets)
-    return (hashes >> np.uint64(48)).astype(np.int64), text, len(offsets) - 1
+    return hashes, text, len(offsets) - 1
+
+
+def _buckets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
+    """(bucket of each word, its text, number of texts)."""
+    hashes, text, n = _hashes(texts)
+    return (hashes >> np.uint64(48)).astype(np.int64), text, n
+
+
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _text.slices(batches):
+        word, n = np.unique(_hashes(batch.column(0))[0].view(np.int64), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(n.astype(np.int64))], ["word", "n"])
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,17 +167,25 @@ def _learn(token_of: np.ndarray, start: np.ndarray):
     return run
 
 
-def _score(token_of: np.ndarray, weights: np.ndarray):
+def _score(token_of: np.ndarray, weights: np.ndarray, class_log: np.ndarray, known: np.ndarray, known_log: np.ndarray):
+    """Sums without the joined words' log counts; these words are listed."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = Window(weights)
         for batch in _text.slices(batches, 1):
-            bucket, text, n = _buckets(batch.column(1))
-            token = token_of[bucket]
+            hashes, text, n = _hashes(batch.column(1))
+            token = token_of[(hashes >> np.uint64(48)).astype(np.int64)]
             context = contexts(token, text)
+            word = hashes.view(np.int64)
+            place = np.minimum(np.searchsorted(known, word), max(0, len(known) - 1))
+            held = known[place] == word if len(known) else np.zeros(len(word), bool)
+            within = np.zeros(n) + np.bincount(text[held], known_log[place[held]], minlength=n) - np.bincount(text, class_log[token], minlength=n)
             total = np.zeros(n)
             for at in range(0, len(token), STEP):
                 total += np.bincount(text[at : at + STEP], net.log_prob(context[:, at : at + STEP], token[at : at + STEP]), minlength=n)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.bincount(text, minlength=n)), pa.array(total)], ["doc_id", "n_tokens", "log_likelihood"])
+            offsets = np.searchsorted(text[~held], np.arange(n + 1)).astype(np.int32)
+            rare = pa.ListArray.from_arrays(pa.array(offsets), pa.array(word[~held]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.bincount(text, minlength=n)), pa.array(total), pa.array(within), batch.column(2), rare], ["doc_id", "n_tokens", "log_likelihood", "within", "rid", "rare"])
 
     return run
 
@@ -185,15 +211,39 @@ def train(docs: DataFrame, text_col: str = "text", rounds: int = 1) -> tuple[np.
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 1) -> DataFrame:
-    """doc_id, n_tokens, log_likelihood (sum over all tokens), mean_log_prob of every row.
+    """doc_id, n_tokens, log_likelihood (sum over all tokens, of their classes), word_log_likelihood (of the words themselves), and their means
+    mean_log_prob and mean_word_log_prob, of every row.
 
     Null texts count as empty; texts without words have likelihood 0 and a null mean. Repeated rows repeat; an empty table gives an
     empty result; other columns are ignored.
     """
     ship(docs.sparkSession)
     token_of, weights = train(docs, text_col, rounds)
-    scored = docs.select(F.col(id_col), F.col(text_col)).mapInArrow(_score(token_of, weights), f"doc_id {dict(docs.dtypes)[id_col]}, n_tokens long, log_likelihood double")
-    return scored.withColumn("mean_log_prob", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")))
+    scratch = Scratch(docs.sparkSession, "lm-score")
+    words = scratch.write(docs.select(F.col(text_col).alias("text")).mapInArrow(_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    class_log = np.zeros(TOKENS)
+    bucket = F.shiftrightunsigned("word", 48).cast("int").alias("bucket")
+    for r in words.groupBy(bucket).agg(F.sum("n").alias("n")).collect():
+        class_log[token_of[r.bucket]] += r.n
+    class_log = np.log(np.maximum(class_log, 1))
+    least, held = None, 0
+    for r in sorted(words.groupBy("n").count().collect(), key=lambda r: -r.n):
+        held += r["count"]
+        if held > SHIPPED:
+            break
+        least = r.n
+    most = words.where(F.col("n") >= least).toArrow() if least else pa.table({"word": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
+    known, counts = most.column("word").to_numpy(), most.column("n").to_numpy()
+    order = np.argsort(known)
+    known, known_log = known[order], np.log(counts[order].astype(float))
+    numbered = docs.select(F.col(id_col), F.col(text_col), F.monotonically_increasing_id().alias("rid"))
+    scored = numbered.mapInArrow(_score(token_of, weights, class_log, known, known_log), f"doc_id {dict(docs.dtypes)[id_col]}, n_tokens long, log_likelihood double, within double, rid long, rare array<long>")
+    scored = scratch.write(scored, "scored")
+    rare = scored.select("rid", F.explode("rare").alias("word")).join(words, "word").groupBy("rid").agg(F.sum(F.log("n")).alias("more"))
+    scored = scored.join(rare, "rid", "left")
+    scored = scored.select("doc_id", "n_tokens", "log_likelihood", (F.col("log_likelihood") + F.col("within") + F.coalesce("more", F.lit(0.0))).alias("word_log_likelihood"))
+    mean = lambda c: F.when(F.col("n_tokens") > 0, F.col(c) / F.col("n_tokens"))
+    return scored.withColumn("mean_log_prob", mean("log_likelihood")).withColumn("mean_word_log_prob", mean("word_log_likelihood"))
 
 
 def op7_masked_pseudo_likelihood(spark, sf_dir: str) -> DataFrame:

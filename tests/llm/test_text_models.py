@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -159,6 +160,25 @@ def test_scores(spark, data, edges, nothing):
     assert L.score_documents(nothing).collect() == []
 
 
+@pytest.mark.parametrize("shipped", [0, 300, 1 << 17])
+def test_scores_of_words(spark, make, monkeypatch, shipped):
+    """A common and a rare word of one class score apart, and the sums are those of brute force, whether counts are sent or joined."""
+    monkeypatch.setattr(L, "SHIPPED", shipped)
+    rng = random.Random(3)
+    rows = [(i, " ".join(f"w{int(rng.paretovariate(0.5)) % 2000}" for _ in range(60))) for i in range(80)]
+    words = [w for _, t in rows for w in t.split()]
+    token_of, weights = L.train(make(rows).coalesce(1))
+    bucket = lambda ws: L._buckets(pa.array([" ".join(ws)]))[0]
+    count = {w: words.count(w) for w in set(words)}
+    names = sorted(count)
+    token = dict(zip(names, token_of[bucket(names)].tolist()))
+    size = {c: sum(n for w, n in count.items() if token[w] == c) for c in set(token.values())}
+    got = {r.doc_id: r for r in L.score_documents(make(rows).coalesce(1)).collect()}
+    for i, t in rows:
+        want = got[i].log_likelihood + sum(np.log(count[w] / size[token[w]]) for w in t.split())
+        assert abs(got[i].word_log_likelihood - want) < 1e-6 and abs(got[i].mean_word_log_prob - want / 60) < 1e-6
+
+
 # Quality -----------------------------------------------------------------------------------------------------
 
 
