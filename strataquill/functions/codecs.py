@@ -194,6 +194,17 @@ def base85_decode(text: str) -> bytes:
     return bytes(out)
 
 
+@vectorised("string")
+def base85(data: pd.Series) -> pd.Series:
+    """Base-85 lines of each value."""
+    return data.map(lambda d: None if d is None else base85_encode(bytes(d)))
+
+
+@vectorised("binary")
+def unbase85(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: None if t is None else base85_decode(t))
+
+
 # Run-length compressed bitsets -------------------------------------------------------------------------------
 
 _ONES = (1 << 64) - 1

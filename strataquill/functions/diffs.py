@@ -18,6 +18,11 @@ from strataquill.functions._udf import vectorised
 Opcode = tuple[str, int, int, int, int]
 
 
+def lines_of(text: str) -> list[str]:
+    """Lines with their line feeds; no other character ends a line."""
+    return re.findall(r"[^\n]*\n|[^\n]+", text)
+
+
 def opcodes(a: list[str], b: list[str], algorithm: str = "myers") -> list[Opcode]:
     """Edit operations (tag, a start, a end, b start, b end) that turn a into b; patience anchors on lines unique to both sides."""
     if algorithm == "patience":
@@ -123,7 +128,7 @@ def parse_unified(text: str) -> list[FilePatch]:
     """Files and hunks of a unified diff."""
     out: list[FilePatch] = []
     need_old = need_new = 0
-    for line in text.splitlines(keepends=True):
+    for line in lines_of(text):
         if need_old > 0 or need_new > 0:
             if line[:1] in " -+":
                 need_old -= line[0] != "+"
@@ -219,7 +224,7 @@ def reattribute(known: list[tuple[str, object]], lines: list[str], commit: objec
 
 def diff_size(a: str, b: str) -> int:
     """Number of lines of the diff of two texts."""
-    return len(unified(a.splitlines(keepends=True), b.splitlines(keepends=True)).splitlines())
+    return len(lines_of(unified(lines_of(a), lines_of(b))))
 
 
 def assign_patches(old: list[str], new: list[str], creation_factor: int = 60) -> list[tuple[int | None, int | None]]:
@@ -271,11 +276,22 @@ def hungarian(cost: np.ndarray) -> list[int]:
 @vectorised("string")
 def unified_diff(a: pd.Series, b: pd.Series) -> pd.Series:
     """Unified diff of two text columns."""
-    return pd.Series([unified((x or "").splitlines(keepends=True), (y or "").splitlines(keepends=True)) for x, y in zip(a, b)])
+    return pd.Series([unified(lines_of(x or ""), lines_of(y or "")) for x, y in zip(a, b)])
 
 
 @vectorised("struct<text:string, conflict:boolean>")
 def merge_texts(base: pd.Series, ours: pd.Series, theirs: pd.Series) -> pd.DataFrame:
     """Three-way merge of text columns with conflict marks."""
-    rows = [merge3(*((t or "").splitlines(keepends=True) for t in x)) for x in zip(base, ours, theirs)]
+    rows = [merge3(*(lines_of(t or "") for t in x)) for x in zip(base, ours, theirs)]
     return pd.DataFrame({"text": ["".join(x) for x, _ in rows], "conflict": [c for _, c in rows]})
+
+
+@vectorised("string")
+def patched(text: pd.Series, patch: pd.Series) -> pd.Series:
+    """Each text after its patch of one file; a patch without hunks leaves it."""
+
+    def one(t: str, p: str) -> str:
+        found = parse_unified(p)
+        return "".join(apply_hunks(found[0], lines_of(t))) if found else t
+
+    return pd.Series([None if t is None or p is None else one(t, p) for t, p in zip(text, patch)])

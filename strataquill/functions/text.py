@@ -18,8 +18,8 @@ def split_lines(text: Column) -> Column:
 
 
 def blocks(text: Column) -> Column:
-    """Array of blocks: lines, of which those of over 64 characters are cut every 64."""
-    return F.regexp_extract_all(text, F.lit("([^\n]{0,63}\n|[^\n]{1,64})"), F.lit(1))
+    """Array of blocks: lines, of which those of over 64 bytes are cut every 64. Each character of a block stands for one byte of the UTF-8 text."""
+    return F.regexp_extract_all(F.decode(F.encode(text, "UTF-8"), "ISO-8859-1"), F.lit("([^\n]{0,63}\n|[^\n]{1,64})"), F.lit(1))
 
 
 def lf_to_crlf(text: Column) -> Column:
@@ -47,17 +47,22 @@ def summary_slug(message: Column) -> Column:
     return F.replace(first, F.lit(" "), F.lit("-"))
 
 
-def whitespace_errors(lines: DataFrame, text: str = "line", tab_width: int = 8) -> DataFrame:
-    """``lines`` with one row for each error (column error) among trailing space, space before tab, indentation by spaces, carriage return."""
+#: All kinds of white space errors.
+WHITESPACE_RULES = ("trailing-space", "space-before-tab", "indent-with-non-tab", "tab-in-indent", "cr-at-eol")
+
+
+def whitespace_errors(lines: DataFrame, text: str = "line", tab_width: int = 8, rules: tuple[str, ...] = ("trailing-space", "space-before-tab", "indent-with-non-tab", "cr-at-eol")) -> DataFrame:
+    """``lines`` with one row for each error (column error) of the kinds asked for."""
     line = F.col(text)
     body = F.regexp_replace(line, "\r?\n$", "")
-    rules = {
+    tests = {
         "trailing-space": body.rlike(r"[ \t]+\r?$"),
         "space-before-tab": body.rlike(r"^\t* +\t"),
-        "indent-with-non-tab": body.rlike(rf"^\t* {{{tab_width},}}"),
+        "indent-with-non-tab": body.rlike(rf"^[ \t]* {{{tab_width},}}"),
+        "tab-in-indent": body.rlike(r"^ *\t"),
         "cr-at-eol": line.rlike("\r\n?$"),
     }
-    found = F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in rules.items()]), lambda x: x.isNotNull())
+    found = F.filter(F.array(*[F.when(tests[n], F.lit(n)) for n in rules]), lambda x: x.isNotNull())
     return lines.select("*", F.explode(found).alias("error"))
 
 
@@ -73,10 +78,18 @@ def fix_whitespace(text: Column, tab_width: int = 8) -> Column:
 _TRAILER = re.compile(r"^([A-Za-z0-9][A-Za-z0-9-]*)\s*([:=#])\s*(.*)$")
 
 
+def _end(lines: list[str]) -> int:
+    """Number of lines before the last one that starts with three dashes."""
+    return next((i for i in range(len(lines) - 1, -1, -1) if lines[i].lstrip().startswith("---")), len(lines))
+
+
 def split_trailers(message: str, separators: str = ":") -> tuple[str, list[tuple[str, str, str]]]:
-    """(body, [(key, value, separator)]): trailers are the last paragraph if every line is one or continues one."""
+    """(body, [(key, value, separator)]): trailers are the last paragraph if every line is one or continues one.
+
+    The last line that starts with ``---`` ends the message: what follows it is no part of either.
+    """
     lines = message.split("\n")
-    end = len(lines)
+    end = _end(lines)
     while end and not lines[end - 1].strip():
         end -= 1
     start = end
@@ -102,8 +115,12 @@ def join_trailers(trailers: list[tuple[str, str, str]]) -> str:
 
 
 def with_trailer(message: str, key: str, value: str, where: str = "end", if_exists: str = "addIfDifferentNeighbor", if_missing: str = "add") -> str:
-    """The message with a trailer put in by the rules that ``where``, ``if_exists`` and ``if_missing`` name."""
+    """The message with a trailer put in by the rules that ``where``, ``if_exists`` and ``if_missing`` name; what follows a line of dashes stays behind it."""
+    lines = message.split("\n")
+    rest = "\n".join(lines[_end(lines) :])
     body, found = split_trailers(message)
+    if rest and not found:
+        body = "\n".join(lines[: _end(lines)])
     same = [i for i, t in enumerate(found) if t[0].lower() == key.lower()]
     new = (key, value, ":")
     if same:
@@ -128,7 +145,7 @@ def with_trailer(message: str, key: str, value: str, where: str = "end", if_exis
         return message
     else:
         found.insert(len(found) if where in ("end", "after") else 0, new)
-    return body.rstrip("\n") + "\n\n" + join_trailers(found)
+    return body.rstrip("\n") + "\n\n" + join_trailers(found) + rest
 
 
 @vectorised("struct<body:string, trailers:array<struct<key:string, value:string, separator:string>>>")
@@ -152,7 +169,7 @@ def add_trailer(message: Column, key: str, value: str, where: str = "end", if_ex
 def normalise_conflict(text: str) -> str:
     """Conflict hunks with bare markers and their sides in order, so that the same conflict has one text."""
     out, ours, theirs, side = [], [], [], None
-    for line in text.splitlines(keepends=True):
+    for line in re.findall(r"[^\n]*\n|[^\n]+", text):
         if line.startswith("<<<<<<<"):
             ours, theirs, side = [], [], "ours"
         elif line.startswith("|||||||") and side:

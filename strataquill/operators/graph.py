@@ -55,7 +55,7 @@ def generations(commits: DataFrame, parents: DataFrame) -> DataFrame:
     inside = parents.join(known.select(F.col("commit").alias("parent")), "parent", "left_semi").select("commit", "parent")
     roots = known.join(inside.select("commit").distinct(), "commit", "left_anti").select(F.col("commit").alias("node"))
     down = inside.select(F.col("parent").alias("src"), F.col("commit").alias("dst")).distinct()
-    return longest(down, roots).select(F.col("node").alias("commit"), (F.col("depth") + 1).alias("generation"))
+    return longest(down, roots, whole=True).select(F.col("node").alias("commit"), (F.col("depth") + 1).alias("generation"))
 
 
 def depth_of(parents: DataFrame, head: DataFrame, max_depth: int | None = None) -> DataFrame:

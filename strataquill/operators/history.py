@@ -130,7 +130,7 @@ def annotate(revisions: DataFrame) -> DataFrame:
         group = group.sort_values("position")
         known: list[tuple[str, object]] = []
         for commit, data in zip(group["commit"], group["data"]):
-            known = diffs.reattribute(known, (data or "").splitlines(keepends=True), commit)
+            known = diffs.reattribute(known, diffs.lines_of(data or ""), commit)
         return pd.DataFrame({"path": group["path"].iloc[0], "line_no": np.arange(1, len(known) + 1), "line": [x for x, _ in known], "commit": [c for _, c in known]})
 
     ship(revisions.sparkSession)

@@ -37,14 +37,24 @@ def is_ignored(path: Column, lines: list[str], is_dir: Column | bool = False) ->
 
 
 def is_ignored_by(path: Column, files: dict[str, list[str]], is_dir: Column | bool = False) -> Column:
-    """As is_ignored with rule files of several folders ('' is the root): rules of the deepest folder go first."""
-    out = F.lit(None).cast("boolean")
-    for folder in sorted(files, key=lambda f: f.count("/") + bool(f)):
-        inside = path.startswith(folder + "/") if folder else F.lit(True)
-        below = F.substr(path, F.lit(len(folder) + 2)) if folder else path
-        own = F.when(inside, is_ignored(below, files[folder], is_dir))
-        out = F.coalesce(own, out)
-    return out
+    """As is_ignored with rule files of several folders ('' is the root): rules of the deepest folder go first.
+
+    Every folder above the path is judged by the files above that folder; once one is excluded, no deeper rule brings back what lies below.
+    """
+    order = [(f, parse_rules(files[f])) for f in sorted(files, key=lambda f: f.count("/") + bool(f))]
+
+    def verdict(p: Column, folder: Column | bool) -> Column:
+        out = F.lit(None).cast("boolean")
+        for top, rules in order:
+            below = F.substr(p, F.lit(len(top) + 2)) if top else p
+            out = F.coalesce(F.when(p.startswith(top + "/") if top else F.lit(True), _verdict(last_match(below, rules, folder), rules)), out)
+        return out
+
+    whole = F.regexp_replace(path, "/+$", "")
+    folders = F.filter(O.ancestors_of_path(whole), lambda p: (p != whole) & (p != ""))
+    above = F.exists(folders, lambda p: F.coalesce(verdict(p, True), F.lit(False)))
+    folder = path.endswith("/") | (F.lit(is_dir) if isinstance(is_dir, bool) else is_dir)
+    return F.when(above, F.lit(True)).otherwise(verdict(whole, folder))
 
 
 def parse_attributes(lines: list[str]) -> list[tuple[str, dict[str, str | None]]]:

@@ -15,12 +15,13 @@ from strataquill.functions import objects as O
 from strataquill.functions.text import blocks
 from strataquill.operators.trees import tree_changes
 from strataquill.plans.lineage import Materialised
+from strataquill.plans.ranking import numbered
 
 
 def count_blocks(blobs: DataFrame) -> DataFrame:
     """(oid, block, bytes): bytes of each distinct block of each blob (oid, data)."""
     each = blobs.select("oid", F.explode(blocks(F.col("data"))).alias("block"))
-    return each.groupBy("oid", "block").agg(F.sum(F.octet_length("block")).cast("long").alias("bytes"))
+    return each.groupBy("oid", "block").agg(F.sum(F.length("block")).cast("long").alias("bytes"))
 
 
 def similarity(left: DataFrame, right: DataFrame, threshold: int | None = None) -> DataFrame:
@@ -47,7 +48,10 @@ def similarity(left: DataFrame, right: DataFrame, threshold: int | None = None)
 
 @dataclass(frozen=True)
 class RenameDetector:
-    """Rename and copy detection: exact by id, then by content, greedily by score."""
+    """Rename and copy detection: exact by id, then by content, greedily by score.
+
+    ``max_files``, if set, leaves contents uncompared where sources times additions exceed its square.
+    """
 
     threshold: int = 60
     rewrite_threshold: int | None = None
@@ -70,8 +74,9 @@ class RenameDetector:
         used_old = exact.where("change_type = 'rename'").select("old_path")
         rest_new = adds.select("new_path", "new_oid", "new_mode").join(used_new, "new_path", "left_anti")
         rest_old = source.join(used_old, "old_path", "left_anti")
-        content = self._content_pairs(keep(rest_old), keep(rest_new), blobs)
-        found = keep(exact.unionByName(content))
+        rest_old, rest_new = keep(rest_old), keep(rest_new)
+        many = self.max_files is not None and rest_old.count() * rest_new.count() > self.max_files**2
+        found = exact if many else keep(exact.unionByName(self._content_pairs(rest_old, rest_new, blobs)))
         other = changes.where("change_type not in ('add', 'delete')" + ("" if want_unchanged else " and change_type <> 'unchanged'"))
         left_adds = changes.where("change_type = 'add'").join(found.select("new_path"), "new_path", "left_anti")
         left_gone = changes.where("change_type = 'delete'").join(found.where("change_type = 'rename'").select("old_path"), "old_path", "left_anti")
@@ -139,14 +144,28 @@ def sorted_changes(changes: DataFrame) -> DataFrame:
     return changes.orderBy(F.coalesce("old_path", "new_path"), F.coalesce("new_path", "old_path"))
 
 
-def delta_bases(objects: DataFrame, window: int = 10) -> DataFrame:
-    """``objects`` (oid, type, path, size) with candidates: ids of up to ``window`` objects of the type before each in delta order."""
-    order = Window.partitionBy("type").orderBy("path", F.desc("size"), "oid").rowsBetween(-window, -1)
-    return objects.withColumn("candidates", F.collect_list("oid").over(order))
+#: Rows of one range of the delta order.
+RANGE = 8192
 
 
 def delta_order(objects: DataFrame) -> DataFrame:
-    return objects.orderBy("type", "path", F.desc("size"), "oid")
+    """``objects`` (oid, type, path, size) with position from 1 in delta order: by type, path, falling size."""
+    return numbered(objects, "type", "path", F.desc("size"), "oid")
+
+
+def delta_bases(objects: DataFrame, window: int = 10) -> DataFrame:
+    """``objects`` (oid, type, path, size) with candidates: ids of up to ``window`` objects of the type before each in delta order.
+
+    The order is cut into ranges of RANGE rows, each of which also gets the ``window`` rows before it, so a type with very many objects is many tasks' work.
+    """
+    placed = delta_order(objects).withColumn("sq_range", F.expr(f"(position - 1) div {RANGE}"))
+    ahead = placed.where((F.col("position") - 1) % RANGE >= RANGE - window).withColumn("sq_range", F.col("sq_range") + 1).withColumn("sq_own", F.lit(False))
+    both = placed.withColumn("sq_own", F.lit(True)).unionByName(ahead)
+    order = Window.partitionBy("sq_range").orderBy("position").rowsBetween(-window, -1)
+    near = F.collect_list(F.struct("type", "oid")).over(order)
+    found = both.withColumn("sq_near", near).where("sq_own")
+    same = F.transform(F.filter("sq_near", lambda x: x["type"].eqNullSafe(F.col("type"))), lambda x: x["oid"])
+    return found.withColumn("candidates", same).select(*objects.columns, "candidates")
 
 
 def reusable_deltas(entries: DataFrame, wanted: DataFrame, known: DataFrame | None = None) -> DataFrame:

@@ -35,4 +35,4 @@ def query(sql: str | None = None) -> Callable[[Callable[..., DataFrame]], Callab
 
 def load() -> None:
     """Import all modules of queries."""
-    from strataquill.queries import graphs, matches, packs, scalars, snapshots, streams  # noqa: F401
+    from strataquill.queries import formats, graphs, matches, merges, packs, records, scalars, snapshots, streams  # noqa: F401

@@ -76,13 +76,6 @@ def merge_base_of_three(v):
     return graph.merge_base(v.parents, [n, n - 7, n - 12])
 
 
-@query()
-def octopus_base_of_three(v):
-    """Bases folded over three commits."""
-    n = _last(v).first().node
-    return graph.octopus_base(v.parents, [n, n - 7, n - 12])
-
-
 @query("WITH RECURSIVE x AS (SELECT parent AS node FROM parents WHERE id IN (SELECT node FROM branches) UNION SELECT p.parent FROM x JOIN parents p ON p.id = x.node) SELECT node FROM branches WHERE node NOT IN (SELECT node FROM x)")
 def independent_heads(v):
     """Branch tips that no other tip reaches."""
@@ -118,7 +111,12 @@ def bisect_candidates(v):
     return c.select("node", F.col("level").cast("long").alias("level"), F.col("position").cast("long").alias("position"))
 
 
-@query()
+@query("""
+WITH RECURSIVE a AS (SELECT max(event_id) AS node, 0 AS d FROM events UNION SELECT p.parent, d + 1 FROM a JOIN parents p ON p.id = a.node WHERE p.parent NOT IN (2, 3)),
+g AS (SELECT CAST(unnest([2, 3]) AS BIGINT) AS node UNION SELECT p.parent FROM g JOIN parents p ON p.id = g.node), c AS (SELECT node, min(d) AS d FROM a WHERE node NOT IN (SELECT node FROM g) GROUP BY node),
+n AS (SELECT node, row_number() OVER (ORDER BY d, node) AS position, count(*) OVER () AS remaining FROM c WHERE d > 0)
+SELECT node, remaining, CAST(floor(log2(remaining)) AS INTEGER) AS steps FROM n WHERE position = remaining // 2 + 1
+""")
 def bisect_next(v):
     """The middle candidate and the steps left."""
     return graph.bisect_next(graph.bisect_candidates(v.parents, _last(v), v.ids(2, 3)))
@@ -214,9 +212,11 @@ def type_bitmap_counts(v):
 def reachability_bitmap_counts(v):
     """Set bits of each branch's reachability bitmap."""
     placed = bitmaps.positions(v.commits.select(F.lpad(F.col("commit").cast("string"), 12, "0").alias("oid")))
-    edges = v.parents.select(F.lpad(F.col("commit").cast("string"), 12, "0").alias("src"), F.lpad(F.col("parent").cast("string"), 12, "0").alias("dst"))
-    reach = closure(edges, v.branches.select(F.col("branch").alias("commit_id"), F.lpad(F.col("node").cast("string"), 12, "0").alias("node")), keys=("commit_id",))
-    return bitmaps.counts(bitmaps.build(reach.join(placed.select(F.col("oid").alias("node"), "pos"), "node"), "commit_id"), "commit_id")
+    pad = lambda c: F.lpad(F.col(c).cast("string"), 12, "0")
+    edges = v.parents.select(pad("commit").alias("src"), pad("parent").alias("dst"))
+    tips = v.branches.select("branch", pad("node").alias("commit"))
+    n = bitmaps.counts(bitmaps.reachability_bitmaps(edges, tips.select("commit").distinct(), placed), "commit")
+    return tips.join(n, "commit").select(F.col("branch").alias("commit_id"), "n")
 
 
 @query(f"WITH RECURSIVE {_ANC}, x AS (SELECT DISTINCT a.node FROM branches b JOIN anc a ON a.s = b.node WHERE branch <> 'user1'), y AS (SELECT a.node FROM branches b JOIN anc a ON a.s = b.node WHERE branch = 'user1') SELECT node AS pos FROM x WHERE node NOT IN (SELECT node FROM y)")
@@ -302,22 +302,18 @@ def cherry(v):
     return history.cherry(ids, ids.where("commit % 2 = 0")).select(F.col("commit").alias("commit_id"), "sign")
 
 
-@query()
-def annotate(v):
-    """Who last changed each line of three versions of every document."""
-    b = v.blobs
-    revs = [b.select("path", F.lit(i).alias("position"), F.lit(c).alias("commit"), t.alias("data")) for i, (c, t) in enumerate((("first", F.col("data")), ("second", F.concat(F.lit("top\n"), F.col("data"))), ("third", F.concat(F.lit("top\n"), F.col("data"), F.lit("\nend\n")))))]
-    found = history.annotate(revs[0].unionByName(revs[1]).unionByName(revs[2]))
-    return found.groupBy("path", "commit").agg(F.count("*").alias("lines"))
-
-
-@query()
+@query("""
+WITH d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS n FROM documents), o AS (SELECT doc_id, n AS old_position FROM d WHERE doc_id % 5 <> 0), w AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id DESC) AS new_position FROM d WHERE doc_id % 5 <> 1 OR doc_id > 50)
+SELECT old_position, new_position, CASE WHEN o.doc_id IS NULL THEN '>' WHEN w.doc_id IS NULL THEN '<' ELSE '=' END AS sign FROM o FULL OUTER JOIN w ON o.doc_id = w.doc_id
+""")
 def range_diff(v):
-    """Two series of patches matched."""
-    s = v.spark
-    old = s.createDataFrame([(1, "a", "+x\n" * 9), (2, "b", "+y\n" * 9), (3, "c", "+z\n" * 9)], "position int, patch_id string, patch string")
-    new = s.createDataFrame([(1, "b", "+y\n" * 9), (2, "d", "+x\n" * 8 + "+w\n"), (3, "e", "+q\n" * 9)], "position int, patch_id string, patch string")
-    return history.range_diff(old, new)
+    """Two series of patches made of all documents, in opposite orders, each without some of them; what is left over is unlike anything left on the other side."""
+    from strataquill.plans.ranking import numbered
+
+    rows = v.table("documents").select("doc_id", F.col("doc_id").cast("string").alias("patch_id"), F.concat(F.lit("+"), F.col("doc_id").cast("string"), F.lit("\n")).alias("patch"))
+    old = numbered(rows, "doc_id").where("doc_id % 5 <> 0").select("position", "patch_id", "patch")
+    new = numbered(rows.where("doc_id % 5 <> 1 or doc_id > 50"), F.desc("doc_id")).select("position", "patch_id", "patch")
+    return history.range_diff(old, new, creation_factor=0)
 
 
 # Reflogs and refs --------------------------------------------------------------------------------------------

@@ -25,9 +25,9 @@ def ignored_paths(v):
 SELECT path, CASE WHEN path LIKE 'src4/%' THEN CASE WHEN path LIKE 'src4/en/%' THEN false ELSE true END WHEN path LIKE '%/de/%' THEN true END AS ignored FROM blobs
 """)
 def ignored_paths_by_folder(v):
-    """Verdict of rule files in two folders."""
-    files = {"": ["de"], "src4": ["*.txt", "!en/*.txt"]}
-    return v.blobs.select("path", matching.is_ignored_by(F.col("path"), files).alias("ignored")).where("not (path like 'src4/de/%')").unionByName(v.blobs.where("path like 'src4/de/%'").select("path", F.lit(True).alias("ignored")))
+    """Verdict of rule files in two folders; the deeper one cannot bring back what the root's file excludes as a folder."""
+    files = {"": ["de/"], "src4": ["*.txt", "!en/*.txt", "!de/*.txt"]}
+    return v.blobs.select("path", matching.is_ignored_by(F.col("path"), files).alias("ignored"))
 
 
 @query("""
@@ -95,11 +95,12 @@ def paths_below(v):
     return trees.under_paths(trees.flatten(v.tree_entries, roots, include_trees=True), ["EUROPE"]).select("path")
 
 
-@query("SELECT doc_id, n AS line_no, e AS error FROM (SELECT doc_id, n, unnest(list_filter([CASE WHEN regexp_matches(l, '[ \\t]+\\r?$') THEN 'trailing-space' END, CASE WHEN regexp_matches(l, '^\\t* +\\t') THEN 'space-before-tab' END, CASE WHEN regexp_matches(l, '^\\t* {8,}') THEN 'indent-with-non-tab' END], lambda x: x IS NOT NULL)) AS e FROM (SELECT doc_id, unnest(range(1, len(string_split(data, chr(10))) + 1)) AS n, unnest(string_split(data, chr(10))) AS l FROM blobs))")
+@query("SELECT doc_id, n AS line_no, e AS error FROM (SELECT doc_id, n, unnest(list_filter([CASE WHEN regexp_matches(l, '[ \\t]+\\r?$') THEN 'trailing-space' END, CASE WHEN regexp_matches(l, '^\\t* +\\t') THEN 'space-before-tab' END, CASE WHEN regexp_matches(l, '^[ \\t]* {8,}') THEN 'indent-with-non-tab' END, CASE WHEN regexp_matches(l, '^ *\\t') THEN 'tab-in-indent' END, CASE WHEN suffix(l, chr(13)) THEN 'cr-at-eol' END], lambda x: x IS NOT NULL)) AS e FROM (SELECT doc_id, unnest(range(1, len(string_split(data, chr(10))) + 1)) AS n, unnest(string_split(data, chr(10))) AS l FROM (SELECT doc_id, replace(data, '. ', ' .' || chr(13) || chr(10)) AS data FROM blobs)))")
 def whitespace_errors(v):
-    """White space errors by line of every document."""
-    lines = v.blobs.select("doc_id", F.posexplode(F.split("data", "\n")).alias("n", "line")).withColumn("line_no", (F.col("n") + 1).cast("long"))
-    return X.whitespace_errors(lines).where("error <> 'cr-at-eol'").select("doc_id", "line_no", "error")
+    """White space errors of all kinds by line of every document, with sentences ended by carriage returns."""
+    text = F.replace("data", F.lit(". "), F.lit(" .\r\n"))
+    lines = v.blobs.select("doc_id", F.posexplode(F.split(text, "\n")).alias("n", "line")).withColumn("line_no", (F.col("n") + 1).cast("long"))
+    return X.whitespace_errors(lines, rules=X.WHITESPACE_RULES).select("doc_id", "line_no", "error")
 
 
 @query("SELECT path FROM blobs WHERE regexp_full_match(path, 'src[^/]/(de|fr|es|en)/[0-9][^/]*5\\.txt') OR regexp_full_match(path, '.*/fr/[^/]*')")

@@ -42,13 +42,11 @@ def delta_candidates(v):
     return found.select("p_partkey", F.when(F.size("candidates") > 0, F.array_join("candidates", ",")).alias("candidates"))
 
 
-@query("SELECT p_partkey, CAST(row_number() OVER (PARTITION BY p_type ORDER BY p_name, p_size DESC, p_partkey) AS BIGINT) AS place FROM part")
+@query("SELECT p_partkey, row_number() OVER (ORDER BY p_type, p_name, p_size DESC, lpad(CAST(p_partkey AS VARCHAR), 10, '0')) AS place FROM part")
 def delta_order(v):
-    """Every part's place in delta order within its type."""
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("p_type").orderBy("p_name", F.desc("p_size"), "p_partkey")
-    return v.table("part").select("p_partkey", F.row_number().over(order).cast("long").alias("place"))
+    """Every part's place in delta order."""
+    rows = v.table("part").select("p_partkey", F.lpad(F.col("p_partkey").cast("string"), 10, "0").alias("oid"), F.col("p_type").alias("type"), F.col("p_name").alias("path"), F.col("p_size").alias("size"))
+    return similarity.delta_order(rows).select("p_partkey", F.col("position").cast("long").alias("place"))
 
 
 @query("SELECT DISTINCT l_orderkey || '-' || l_linenumber AS oid, 'b' || (l_partkey % 50) AS delta_base FROM lineitem WHERE l_partkey % 50 < 20 AND l_linenumber <= 2")

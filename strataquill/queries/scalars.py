@@ -112,19 +112,10 @@ def relative_dates(v):
     return v.table("events").select("event_id", dates.relative_seconds(text).alias("back"))
 
 
-@query("SELECT c_custkey, c_name AS key, c_mktsegment AS value FROM customer")
+@query("SELECT c_custkey, regexp_replace(c_name, '[^A-Za-z0-9-]', '-', 'g') AS key, c_mktsegment AS value FROM customer")
 def trailers(v):
     """Trailers put into messages and parsed again."""
     message = F.concat(F.lit("Subject\n\nBody of the text.\n\n"), F.regexp_replace("c_name", "[^A-Za-z0-9-]", "-"), F.lit(": "), F.col("c_mktsegment"), F.lit("\n"))
     p = v.table("customer").select("c_custkey", "c_name", X.parse_trailers(message).alias("p"))
     t = F.element_at("p.trailers", 1)
-    return p.select("c_custkey", F.when(t["key"] == F.regexp_replace("c_name", "[^A-Za-z0-9-]", "-"), F.col("c_name")).alias("key"), t["value"].alias("value"))
-
-
-@query()
-def conflict_ids(v):
-    """Ids of conflicts that differ in order of their sides and marker labels only."""
-    b = v.blobs
-    one = F.concat(F.lit("<<<<<<< a\n"), F.col("oid"), F.lit("\n=======\n"), F.col("path"), F.lit("\n>>>>>>> b\n"))
-    two = F.concat(F.lit("<<<<<<< x\n"), F.col("path"), F.lit("\n=======\n"), F.col("oid"), F.lit("\n>>>>>>> y\n"))
-    return b.select("doc_id", X.conflict_id(one).alias("id"), X.conflict_id(two).alias("other")).select("doc_id", (F.col("id") == F.col("other")).alias("same"))
+    return p.select("c_custkey", t["key"].alias("key"), t["value"].alias("value"))

@@ -92,7 +92,7 @@ def exact_renames(v):
 
 
 def _edited(v):
-    """Blobs of the first two sources, and the same with two lines appended under other paths."""
+    """Every blob, and the same with two lines appended."""
     old = v.blobs.select("oid", "data").dropDuplicates(["oid"])
     text = F.concat(F.col("data"), F.lit("\nedited\nagain\n"))
     new = v.blobs.select(O.blob_id(text).alias("oid"), text.alias("data")).dropDuplicates(["oid"])
@@ -102,14 +102,14 @@ def _edited(v):
 _BLOCKS = """
 b1 AS (SELECT oid, any_value(size) AS size, any_value(data) AS data FROM blobs GROUP BY oid),
 b2 AS (SELECT sha1('blob ' || strlen(t) || chr(0) || t) AS oid, any_value(strlen(t)) AS size, any_value(t) AS data FROM (SELECT data || chr(10) || 'edited' || chr(10) || 'again' || chr(10) AS t FROM blobs) GROUP BY 1),
-c1 AS (SELECT oid, block, sum(strlen(block)) AS n FROM (SELECT oid, unnest(regexp_extract_all(data, '[^\\n]{0,63}\\n|[^\\n]{1,64}')) AS block FROM b1) GROUP BY ALL),
-c2 AS (SELECT oid, block, sum(strlen(block)) AS n FROM (SELECT oid, unnest(regexp_extract_all(data, '[^\\n]{0,63}\\n|[^\\n]{1,64}')) AS block FROM b2) GROUP BY ALL),
+c1 AS (SELECT oid, block, sum(strlen(block) // 2) AS n FROM (SELECT oid, unnest(regexp_extract_all(hex(encode(data)), '(?:0[0-9B-F]|[1-9A-F][0-9A-F]){0,63}0A|(?:0[0-9B-F]|[1-9A-F][0-9A-F]){1,64}')) AS block FROM b1) GROUP BY ALL),
+c2 AS (SELECT oid, block, sum(strlen(block) // 2) AS n FROM (SELECT oid, unnest(regexp_extract_all(hex(encode(data)), '(?:0[0-9B-F]|[1-9A-F][0-9A-F]){0,63}0A|(?:0[0-9B-F]|[1-9A-F][0-9A-F]){1,64}')) AS block FROM b2) GROUP BY ALL),
 s AS (SELECT c1.oid AS left_oid, c2.oid AS right_oid, CAST(floor(sum(least(c1.n, c2.n)) * 100 / greatest(any_value(b1.size), any_value(b2.size))) AS INTEGER) AS score
   FROM c1 JOIN c2 ON c1.block = c2.block JOIN b1 ON b1.oid = c1.oid JOIN b2 ON b2.oid = c2.oid GROUP BY 1, 2)
 """
 
 
-@query("SELECT oid, count(*) AS n_blocks, CAST(sum(n) AS BIGINT) AS bytes FROM (SELECT oid, block, sum(strlen(block)) AS n FROM (SELECT oid, unnest(regexp_extract_all(data, '[^\\n]{0,63}\\n|[^\\n]{1,64}')) AS block FROM (SELECT DISTINCT oid, data FROM blobs)) GROUP BY ALL) GROUP BY oid")
+@query("SELECT oid, count(*) AS n_blocks, CAST(sum(n) AS BIGINT) AS bytes FROM (SELECT oid, block, sum(strlen(block) // 2) AS n FROM (SELECT oid, unnest(regexp_extract_all(hex(encode(data)), '(?:0[0-9B-F]|[1-9A-F][0-9A-F]){0,63}0A|(?:0[0-9B-F]|[1-9A-F][0-9A-F]){1,64}')) AS block FROM (SELECT DISTINCT oid, data FROM blobs)) GROUP BY ALL) GROUP BY oid")
 def block_counts(v):
     """Distinct blocks and bytes of every blob."""
     return similarity.count_blocks(v.blobs.select("oid", "data").dropDuplicates(["oid"])).groupBy("oid").agg(F.count("*").alias("n_blocks"), F.sum("bytes").cast("long").alias("bytes"))
@@ -121,20 +121,17 @@ def similar_blobs(v):
     return similarity.similarity(*_edited(v), threshold=60)
 
 
-@query(f"WITH {_BLOCKS}, r AS (SELECT *, row_number() OVER (PARTITION BY right_oid ORDER BY score DESC, left_oid) AS k FROM s WHERE score > 60) SELECT left_oid AS old_path, right_oid AS new_path, score FROM r WHERE k = 1")
+@query(f"""
+WITH {_BLOCKS}, r AS (SELECT *, row_number() OVER (PARTITION BY right_oid ORDER BY score DESC, left_oid) AS k FROM s WHERE score > 60),
+c AS (SELECT *, row_number() OVER (PARTITION BY left_oid ORDER BY score DESC, right_oid) AS n FROM r WHERE k = 1)
+SELECT CASE WHEN n = 1 THEN 'rename' ELSE 'copy' END AS change_type, left_oid AS old_path, right_oid AS new_path FROM c
+""")
 def content_renames(v):
-    """The source of each new content: the most similar old one."""
+    """The source of each new content: the most similar old one, a copy where the source is used already."""
     scores = similarity.similarity(*_edited(v), threshold=60)
-    best = scores.groupBy("right_oid").agg(F.min(F.struct((-F.col("score")).alias("s"), "left_oid")).alias("x"))
-    return best.select(F.col("x.left_oid").alias("old_path"), F.col("right_oid").alias("new_path"), (-F.col("x.s")).alias("score"))
-
-
-@query()
-def detected_renames(v):
-    """Exact and content renames between two snapshots by the whole detector."""
-    b = v.blobs.select("oid", "data")
-    found = similarity.RenameDetector().detect(v.snapshot("base"), v.moved(), b)
-    return found.select("change_type", "old_path", "new_path")
+    none = F.lit(0o100644)
+    pairs = scores.select(F.col("left_oid").alias("old_path"), F.col("left_oid").alias("old_oid"), none.alias("old_mode"), F.lit(True).alias("moved"), F.col("right_oid").alias("new_path"), F.col("right_oid").alias("new_oid"), none.alias("new_mode"), "score")
+    return similarity.greedy(pairs).select("change_type", "old_path", "new_path")
 
 
 @query("""
@@ -161,12 +158,6 @@ def extract_subtree(v):
     return trees.extract_subtree(trees.flatten(v.tree_entries, roots), "EUROPE").select("path", "oid")
 
 
-@query()
-def built_trees(v):
-    """Ids of all folders' tree objects, built from the files up."""
-    return trees.build_trees(v.snapshot("base")).select("path", "oid", F.size("entries").alias("n_entries"))
-
-
 @query("""
 SELECT path, oid, mode FROM base WHERE path NOT IN (SELECT path FROM ours) UNION ALL SELECT path, oid, mode FROM ours WHERE path NOT IN (SELECT path FROM theirs WHERE path LIKE 'new/%')
 """)
@@ -177,11 +168,11 @@ def applied_changes(v):
     return trees.apply_changes(out, out.limit(0), gone)
 
 
-@query()
+@query("SELECT doc_id, sha1('top' || chr(10) || data || chr(10) || 'end' || chr(10)) AS text_sha1, false AS conflict FROM blobs")
 def merged_texts(v):
     """Line merge of every document that both sides edited."""
-    t = F.col("data")
-    rows = v.blobs.select("doc_id", diffs.merge_texts(t, F.concat(F.lit("top\n"), t), F.concat(t, F.lit("\nend\n"))).alias("m"))
+    t = F.concat("data", F.lit("\n"))
+    rows = v.blobs.select("doc_id", diffs.merge_texts(t, F.concat(F.lit("top\n"), t), F.concat(t, F.lit("end\n"))).alias("m"))
     return rows.select("doc_id", F.sha1(F.col("m.text")).alias("text_sha1"), "m.conflict")
 
 

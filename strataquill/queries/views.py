@@ -53,6 +53,11 @@ class Views:
     def ids(self, *numbers: int) -> DataFrame:
         return self.spark.createDataFrame([(n,) for n in numbers], "node long")
 
+    def chunked(self, df: DataFrame, column: str, rows: int = 1000) -> DataFrame:
+        """``df`` with chunk: groups of about ``rows`` rows, as many as the table asks for."""
+        n = max(1, df.count() // rows)
+        return df.withColumn("chunk", F.expr(f"pmod(xxhash64({column}), {n})"))
+
     def snapshot(self, version: str) -> DataFrame:
         """(path, oid, mode) of base, ours or theirs."""
         b = self.blobs

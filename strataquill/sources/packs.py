@@ -6,6 +6,7 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Callable, Iterator
+from functools import partial, reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -19,11 +20,13 @@ from strataquill.shipping import ship
 TYPES = {1: "commit", 2: "tree", 3: "blob", 4: "tag", 6: "ofs_delta", 7: "ref_delta"}
 NUMBERS = {v: k for k, v in TYPES.items()}
 _MAGIC = b"\377tOc"
+#: Names of the hash by its width.
+HASHES = {20: "sha1", 32: "sha256"}
 
 
-def rows_of(spark: SparkSession, path: str, decode: Callable[[bytes], Iterator[tuple]], schema: str) -> DataFrame:
-    """(file, …) rows that ``decode`` gives for each file's bytes; a file is one task's work, files are spread over tasks."""
-    ship(spark)
+def decoded(files: DataFrame, decode: Callable[[bytes], Iterator[tuple]], schema: str) -> DataFrame:
+    """(file, …) rows that ``decode`` gives for each file (path, content); a file is one task's work."""
+    ship(files.sparkSession)
     names = [c.split()[0] for c in schema.split(",")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -35,7 +38,22 @@ def rows_of(spark: SparkSession, path: str, decode: Callable[[bytes], Iterator[t
                     out.insert(0, "file", name)
                     yield out
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, f"file string, {schema}")
+    return files.select("path", "content").mapInPandas(run, f"file string, {schema}")
+
+
+def encoded(rows: DataFrame, key: str, encode: Callable[[pd.DataFrame], bytes]) -> DataFrame:
+    """(path, content): a file for each value of ``key``, made of its rows in one task, so a key must not have more rows than a file should hold."""
+    ship(rows.sparkSession)
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"path": [str(frame[key].iloc[0])], "content": [encode(frame)]})
+
+    return rows.groupBy(key).applyInPandas(run, "path string, content binary")
+
+
+def rows_of(spark: SparkSession, path: str, decode: Callable[[bytes], Iterator[tuple]], schema: str) -> DataFrame:
+    """(file, …) rows that ``decode`` gives for each file's bytes; files are spread over tasks."""
+    return decoded(spark.read.format("binaryFile").load(path), decode, schema)
 
 
 # Indexes -----------------------------------------------------------------------------------------------------
@@ -106,10 +124,23 @@ def read_indexes(spark: SparkSession, path: str) -> DataFrame:
 # Packs -------------------------------------------------------------------------------------------------------
 
 
+def inflated(view: memoryview, at: int, size: int) -> tuple[bytes, int]:
+    """(bytes of a compressed stream at ``at``, the place after it), fed in windows, so that a pack is read once."""
+    z, out, window = zlib.decompressobj(), [], max(4096, min(size, 1 << 20))
+    while not z.eof:
+        piece = view[at : at + window]
+        if not len(piece):
+            raise ValueError("a compressed stream ends too early")
+        out.append(z.decompress(piece))
+        at += len(piece) - len(z.unused_data)
+    return b"".join(out), at
+
+
 def parse_pack(data: bytes, id_bytes: int = 20) -> Iterator[tuple]:
-    """(offset, kind, size, base_offset, base_oid, crc32, data) of every stored entry; deltas stay deltas."""
+    """(offset, kind, size, base_offset, base_oid, crc32, data) of every stored entry; deltas stay deltas. Ids have 20 or 32 bytes."""
     if data[:4] != b"PACK":
         raise ValueError("not a pack")
+    view = memoryview(data)
     version, n = struct.unpack_from(">LL", data, 4)
     if version not in (2, 3):
         raise ValueError(f"pack version {version}")
@@ -130,13 +161,11 @@ def parse_pack(data: bytes, id_bytes: int = 20) -> Iterator[tuple]:
             base_offset = start - back
         elif kind == 7:
             base_oid, at = data[at : at + id_bytes].hex(), at + id_bytes
-        z = zlib.decompressobj()
-        body = z.decompress(data[at:])
-        at = len(data) - len(z.unused_data)
+        body, at = inflated(view, at, size)
         if len(body) != size:
             raise ValueError(f"entry at {start} has {len(body)} bytes for {size}")
-        yield start, TYPES[kind], size, base_offset, base_oid, zlib.crc32(data[start:at]), body
-    if hashlib.sha1(data[:at]).digest() != data[at : at + 20]:
+        yield start, TYPES[kind], size, base_offset, base_oid, zlib.crc32(view[start:at]), body
+    if hashlib.new(HASHES[id_bytes], view[:at]).digest() != data[at : at + id_bytes]:
         raise ValueError("pack checksum differs")
 
 
@@ -150,12 +179,12 @@ def entry_header(kind: int, size: int) -> bytes:
     return bytes(out)
 
 
-def write_pack(objects: list[tuple[str, bytes]], window: int = 0, level: int = -1) -> tuple[bytes, list[tuple[str, int, int]]]:
+def write_pack(objects: list[tuple[str, bytes]], window: int = 0, level: int = -1, id_bytes: int = 20) -> tuple[bytes, list[tuple[str, int, int]]]:
     """(pack, index entries) of (type, data) objects; with a ``window`` each is a delta against one of the last if that is shorter."""
     out = bytearray(b"PACK" + struct.pack(">LL", 2, len(objects)))
     entries, recent = [], []
     for kind, data in objects:
-        oid = hashlib.sha1(f"{kind} {len(data)}\0".encode() + data).hexdigest()
+        oid = hashlib.new(HASHES[id_bytes], f"{kind} {len(data)}\0".encode() + data).hexdigest()
         start = len(out)
         best: tuple[bytes, int] | None = None
         for at, k, other in recent[-window:] if window else []:
@@ -167,34 +196,34 @@ def write_pack(objects: list[tuple[str, bytes]], window: int = 0, level: int = -
             out += entry_header(NUMBERS[kind], len(data)) + zlib.compress(data, level)
             recent.append((start, kind, data))
         entries.append((oid, start, zlib.crc32(out[start:])))
-    out += hashlib.sha1(out).digest()
+    out += hashlib.new(HASHES[id_bytes], out).digest()
     return bytes(out), entries
 
 
-def read_packs(spark: SparkSession, path: str) -> DataFrame:
-    """(file, offset, kind, size, base_offset, base_oid, crc32, data) of all packs at a path."""
-    return rows_of(spark, path, parse_pack, "offset long, kind string, size long, base_offset long, base_oid string, crc32 long, data binary")
+def read_packs(spark: SparkSession, path: str, id_bytes: int = 20) -> DataFrame:
+    """(file, offset, kind, size, base_offset, base_oid, crc32, data) of all packs at a path. A pack is one task's work and below 2 GB."""
+    return rows_of(spark, path, partial(parse_pack, id_bytes=id_bytes), "offset long, kind string, size long, base_offset long, base_oid string, crc32 long, data binary")
 
 
-def resolve(entries: DataFrame, external: DataFrame | None = None, most: int = 100) -> DataFrame:
-    """(file, offset, type, oid, data) of all entries with deltas applied, from bases outwards; one join for each link of the longest chain.
+def resolve(entries: DataFrame, external: DataFrame | None = None, algorithm: str = "sha1") -> DataFrame:
+    """(file, offset, type, oid, data) of all entries with deltas applied, from bases outwards; one join for each link of the longest chain, however long.
 
     ``external`` (oid, type, data) holds bases outside the packs. Entries whose base is nowhere are left out.
     """
     keep = Materialised(entries.sparkSession, "resolve")
 
     def named(df: DataFrame) -> DataFrame:
-        return df.withColumn("oid", O.object_id(F.col("type"), F.col("data"))).select("file", "offset", "type", "oid", "data")
+        return df.withColumn("oid", O.object_id(F.col("type"), F.col("data"), algorithm)).select("file", "offset", "type", "oid", "data")
 
     done = keep(named(entries.where("kind not in ('ofs_delta', 'ref_delta')").withColumn("type", F.col("kind"))))
     out, level = [done], done
     deltas = entries.where("kind in ('ofs_delta', 'ref_delta')").select("file", "offset", "base_offset", "base_oid", F.col("data").alias("change"))
     bases = external.select("oid", "type", F.col("data").alias("base")) if external is not None else None
-    for i in range(most):
+    while True:
         known = level.select("file", F.col("offset").alias("base_offset"), "oid", "type", F.col("data").alias("base"))
         by_place = deltas.join(known.drop("oid"), ["file", "base_offset"])
         ids = known.select(F.col("oid").alias("base_oid"), "type", "base")
-        if i == 0 and bases is not None:
+        if len(out) == 1 and bases is not None:
             ids = ids.unionByName(bases.select(F.col("oid").alias("base_oid"), "type", "base"))
         by_id = deltas.join(ids.dropDuplicates(["base_oid"]), "base_oid")
         both = by_place.select("file", "offset", "type", "base", "change").unionByName(by_id.select("file", "offset", "type", "base", "change")).dropDuplicates(["file", "offset"])
@@ -202,17 +231,13 @@ def resolve(entries: DataFrame, external: DataFrame | None = None, most: int = 1
         if level.isEmpty():
             break
         out.append(level)
-    found = out[0]
-    for o in out[1:]:
-        found = found.unionByName(o)
-    return found
+        if len(out) > 32:  # few tables, so that a long chain's plans stay small
+            out = [keep(reduce(DataFrame.unionByName, out)), level.limit(0)]
+    return reduce(DataFrame.unionByName, out)
 
 
 def _places(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0].select("file", "offset")
-    for p in parts[1:]:
-        out = out.unionByName(p.select("file", "offset"))
-    return out
+    return reduce(DataFrame.unionByName, [p.select("file", "offset") for p in parts])
 
 
 # Several packs -----------------------------------------------------------------------------------------------

@@ -29,10 +29,10 @@ def read_pack_stream(spark: SparkSession, path: str, files_per_trigger: int = 10
 
 
 def resolve_batches(stream: DataFrame, table: str, checkpoint: str, external: DataFrame | None = None):
-    """A query that appends each batch's resolved objects to a Parquet folder."""
+    """A query that writes each batch's resolved objects to a folder batch=N of ``table``; a batch that is repeated after a failure replaces itself."""
 
-    def batch(df: DataFrame, _: int) -> None:
-        packs.resolve(df, external).write.mode("append").parquet(table)
+    def batch(df: DataFrame, number: int) -> None:
+        packs.resolve(df, external).write.mode("overwrite").parquet(f"{table}/batch={number}")
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
 

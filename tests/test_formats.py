@@ -151,3 +151,64 @@ def test_trailers():
     assert X.with_trailer(message, "Signed-off-by", "Z", if_exists="replace").count("Signed-off-by: Z") == 1
     assert X.with_trailer("Subject\n", "Key", "v") == "Subject\n\nKey: v\n"
     assert X.split_trailers("no trailers here")[1] == []
+
+
+def test_sha256_packs(spark, tmp_path):
+    """Ids, index and trailer of 32 bytes."""
+    found = objects()
+    pack, entries = packs.write_pack(found, window=10, id_bytes=32)
+    assert pack[-32:] == hashlib.sha256(pack[:-32]).digest() and all(len(o) == 64 for o, _, _ in entries)
+    (tmp_path / "a.pack").write_bytes(pack)
+    got = {(r.oid, bytes(r.data)) for r in packs.resolve(packs.read_packs(spark, str(tmp_path), 32), algorithm="sha256").collect()}
+    assert got == {(hashlib.sha256(f"{k} {len(d)}\0".encode() + d).hexdigest(), d) for k, d in found}
+    index = packs.write_index(entries, pack[-32:], 3)
+    assert list(packs.parse_index(index)) == sorted(entries)
+    with pytest.raises(ValueError):
+        list(packs.parse_pack(pack, 20))
+
+
+def test_a_chain_of_105_deltas(spark):
+    texts = [b"start of it all, and some more of it to copy from"]
+    rows = [("f", 0, "blob", len(texts[0]), None, None, 0, texts[0])]
+    for i in range(1, 106):
+        texts.append(texts[-1] + b" step %d" % i)
+        rows.append(("f", i, "ofs_delta", 0, i - 1, None, 0, codecs.create_delta(texts[-2], texts[-1])))
+    entries = spark.createDataFrame(rows, "file string, offset long, kind string, size long, base_offset long, base_oid string, crc32 long, data binary").coalesce(1)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 1)
+    try:
+        got = {r.offset: bytes(r.data) for r in packs.resolve(entries).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == dict(enumerate(texts))
+
+
+def test_entries_are_inflated_in_windows():
+    data = random.Random(1).randbytes(3_000_000)
+    pack, entries = packs.write_pack([("blob", data), ("blob", b""), ("blob", b"x" * 5_000_000)])
+    assert [(e[0], e[2], e[6]) for e in packs.parse_pack(pack)] == [(entries[0][1], len(data), data), (entries[1][1], 0, b""), (entries[2][1], 5_000_000, b"x" * 5_000_000)]
+    with pytest.raises(ValueError):
+        packs.inflated(memoryview(pack)[: entries[0][1] + 1000], entries[0][1] + 4, len(data))
+
+
+def test_bytes_of_the_formats():
+    """Forms written down byte by byte from the formats' descriptions, so that reader and writer are not each other's only witness."""
+    empty = b"PACK" + b"\0\0\0\2" + b"\0\0\0\0"
+    assert list(packs.parse_pack(empty + hashlib.sha1(empty).digest())) == [] and packs.write_pack([])[0] == empty + hashlib.sha1(empty).digest()
+    import zlib
+
+    one = b"PACK" + b"\0\0\0\2" + b"\0\0\0\1" + b"\x35" + zlib.compress(b"hello")  # type 3 (blob) in bits 4 to 6, size 5 in the low four
+    row = list(packs.parse_pack(one + hashlib.sha1(one).digest()))[0]
+    assert (row[0], row[1], row[2], row[6]) == (12, "blob", 5, b"hello")
+    assert packs.entry_header(3, 5) == b"\x35" and packs.entry_header(1, 300) == bytes([0b10011100, 0b00010010])
+    # copy 5 bytes from 6: opcode with offset byte 0 and size byte 0; then insert 2 bytes
+    assert codecs.apply_delta(b"hello world", bytes([11, 7, 0b10010001, 6, 5, 2]) + b"!!") == b"world!!"
+    assert codecs.offset_varint(128) == b"\x80\x00" and codecs.size_varint(300) == b"\xac\x02"
+    head = b"DIRC" + b"\0\0\0\2" + b"\0\0\0\1"
+    entry = b"\0" * 24 + b"\0\0\x81\xa4" + b"\0" * 8 + b"\0\0\0\7" + b"\x11" * 20 + b"\0\5" + b"a.txt" + b"\0" * 5
+    index = head + entry
+    got = list(files.parse_staging(index + hashlib.sha1(index).digest()))[0]
+    assert (got[6], got[9], got[10], got[13], got[14]) == (0o100644, 7, "11" * 20, "a.txt", 0)
+    assert files.write_staging([{"path": "a.txt", "oid": "11" * 20, "mode": 0o100644, "size": 7}])[: len(index)] == index
+    words = (5).to_bytes(4, "big") + (2).to_bytes(4, "big") + (1 << 33).to_bytes(8, "big") + (0b10011).to_bytes(8, "big") + (0).to_bytes(4, "big")
+    assert codecs.ewah_decode(words)[0] == {0, 1, 4} and codecs.ewah_encode({0, 1, 4}, 5) == words

@@ -111,3 +111,57 @@ def test_bisect(spark):
     assert got(c) == [3, 4, 5, 6, 7, 8]
     row = graph.bisect_next(c).first()
     assert (row.remaining, row.steps) == (6, 2) and row.node == 5
+
+
+def plain_depths(edges, seeds, far=min):
+    """Least (or largest) number of edges from the seeds, by relaxation."""
+    depth = {n: 0 for n in seeds}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in edges:
+            if a in depth and (b not in depth or far(depth[b], depth[a] + 1) != depth[b]):
+                depth[b] = depth[a] + 1
+                changed = True
+    return depth
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_contracted_runs_give_the_same_depths(spark, monkeypatch, seed):
+    """Chains of several lengths between a few branching points, with a shortcut and a dead end; runs are contracted at once."""
+    import random
+
+    monkeypatch.setattr(sys.modules[closure.__module__], "DEEP", 1)
+    monkeypatch.setattr(sys.modules[closure.__module__], "LEVELS", 1)
+    rng, edges, n = random.Random(seed), [], 100
+    for _ in range(9):
+        a, b = sorted(rng.sample(range(8), 2))
+        last = a
+        for _ in range(rng.randint(0, 12)):
+            edges.append((last, n))
+            last, n = n, n + 1
+        edges.append((last, b))
+    edges += [(7, n), (n, n + 1), (n + 50, n + 51)]
+    e = spark.createDataFrame(edges, "src long, dst long")
+    want = plain_depths(edges, [0, 3])
+    assert {r.node: r.depth for r in closure(e, ids(spark, 0, 3)).collect()} == want
+    assert {r.node: r.depth for r in closure(e, ids(spark, 0, 3), max_depth=9).collect()} == {k: v for k, v in want.items() if v <= 9}
+    blocked = [x for x in want if x > 100][:2]
+    inside = [(a, b) for a, b in edges if a not in blocked and b not in blocked]
+    assert {r.node: r.depth for r in closure(e, ids(spark, 0, 3), stop=ids(spark, *blocked)).collect()} == plain_depths(inside, [0, 3])
+    by = {(r.k, r.node): r.depth for r in closure(e, spark.createDataFrame([(1, 0), (2, 3)], "k long, node long"), keys=("k",)).collect()}
+    assert by == {(k, x): d for k, s in ((1, 0), (2, 3)) for x, d in plain_depths(edges, [s]).items()}
+    unique = sorted(set(edges))
+    assert {r.node: r.depth for r in longest(e, ids(spark, 0)).collect()} == plain_depths(unique, [0], max)
+
+
+def test_a_chain_of_20000_commits(spark):
+    n = 20_000
+    p = spark.range(1, n).selectExpr("id as commit", "1 as parent_no", "id - 1 as parent")
+    commits = spark.range(n).selectExpr("id as commit")
+    found = graph.generations(commits, p).selectExpr("count(*) as n", "count_if(generation = commit + 1) as right").first()
+    assert (found.n, found.right) == (n, n)
+    assert graph.walk(p, ids(spark, n - 1)).count() == n
+    e = p.selectExpr("commit as src", "parent as dst")
+    assert graph.missing_objects(e, ids(spark, 4000), ids(spark, n - 1)).count() == n - 4001
+    assert graph.depth_of(p, ids(spark, n - 1)).first().depth == n

@@ -244,3 +244,83 @@ def test_history(spark):
     got = {r.path: (r.added, r.deleted, r.is_binary) for r in history.diffstat(diff).collect()}
     assert got == {"x": (2, 1, False), "y": (0, 0, True)}
     assert {r.path: r.bar for r in history.diffstat_bars(history.diffstat(diff)).collect()} == {"x": "++-", "y": ""}
+
+
+def test_rule_files_below_an_excluded_folder(spark):
+    """A deeper file brings back nothing below a folder that a higher one excludes; beside it, it does."""
+    from pyspark.sql import functions as F
+
+    from strataquill.operators import matching
+
+    rules = {"": ["de/", "*.log"], "src4": ["!de/1.txt", "!*.log"], "src4/de": ["!*"]}
+    paths = spark.createDataFrame([(x,) for x in ("src4/de/1.txt", "src4/de/sub/x", "src4/a.log", "a.log", "src4/a.txt", "src4/de/")], "path string")
+    got = {r.path: r.v for r in paths.select("path", matching.is_ignored_by(F.col("path"), rules).alias("v")).collect()}
+    assert got == {"src4/de/1.txt": True, "src4/de/sub/x": True, "src4/a.log": False, "a.log": True, "src4/a.txt": None, "src4/de/": True}
+
+
+def test_shared_folder_is_asked_for_on_clusters(spark, monkeypatch):
+    from strataquill.plans import lineage
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return Conf()
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        lineage.shared_dir(Session())
+    Context.master = "local-cluster[2,1,1024]"
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        lineage.shared_dir(Session())
+
+
+def test_intermediate_tables_are_released(spark):
+    from strataquill.plans import lineage
+    from strataquill.plans.lineage import Materialised
+
+    table = Materialised(spark, "released")
+    assert table(spark.range(3)).count() == 3
+    path = table.root.removeprefix("file://")
+    assert os.path.isdir(path) and lineage.release(spark) > 0 and not os.path.exists(path)
+
+
+def test_a_repeated_batch_is_stored_once(spark, tmp_path):
+    from strataquill.streaming import transfers
+
+    os.makedirs(tmp_path / "in")
+    pack, _ = packs.write_pack([("blob", b"b" * 80 + bytes([i])) for i in range(4)], 5)
+    (tmp_path / "in/a.pack").write_bytes(pack)
+    for run in range(2):  # the second run knows nothing of the first, as after a failure before its commit
+        q = transfers.resolve_batches(transfers.read_pack_stream(spark, f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/state{run}").trigger(availableNow=True).start()
+        q.awaitTermination()
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 4
+
+
+def test_late_rows_are_dropped(spark, tmp_path):
+    from strataquill.streaming.runs import drain
+
+    os.makedirs(tmp_path / "logs")
+    day = 86400
+    for i, times in enumerate(([5, day + 5], [5 * day], [9, 4 * day + 200000 // 100])):
+        (tmp_path / f"logs/main.{i}").write_text("".join(f"{'0' * 40} {t:040d} A <a@b> {t} +0000\tm\n" for t in times))
+        os.utime(tmp_path / f"logs/main.{i}", (1_000_000 + i, 1_000_000 + i))
+    moved = logs.moves_per_window(logs.read_stream(spark, f"{tmp_path}/logs", files_per_trigger=1))
+    got = {(r.start.timestamp() // day, r.moves) for r in drain(moved, "append").collect()}
+    # The row at 9 comes after the watermark of four days and is dropped; days that are not over yet are not given out.
+    assert got == {(0, 1), (1, 1)}
+
+
+def test_delta_candidates_across_ranges(spark, monkeypatch):
+    from strataquill.operators import similarity
+
+    monkeypatch.setattr(similarity, "RANGE", 7)
+    rows = [(f"{i:04d}", "a" if i < 30 else "b", f"p{i:04d}", i) for i in range(50)]
+    found = similarity.delta_bases(spark.createDataFrame(rows, "oid string, type string, path string, size long"), 3)
+    assert {r.oid: r.candidates for r in found.collect()} == {f"{i:04d}": [f"{j:04d}" for j in range(max(0 if i < 30 else 30, i - 3), i)] for i in range(50)}
