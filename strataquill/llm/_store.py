@@ -7,11 +7,9 @@ Where the setting is absent (single-machine tests) a temporary folder of this pr
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-from strataquill.plans.lineage import shared_dir
+from strataquill.plans.lineage import delete, scratch_dir
 from strataquill.shipping import ship
 
 
@@ -21,22 +19,20 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         ship(spark)
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/strataquill/{name}-{uuid.uuid4().hex[:12]}"
+        self.root = scratch_dir(spark, name)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` and read it back; an empty frame keeps its schema."""
+    def write(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+        """Write ``df`` and read it back; an empty frame keeps its schema. Tables of hashes ask for snappy, as they don't compress."""
         path = self.path(name)
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", codec).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
         """Delete a table that no later plan reads."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-        path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        delete(self.spark, self.path(name))
 
 
 def shuffle_width(spark: SparkSession) -> int:

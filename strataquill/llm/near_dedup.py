@@ -8,13 +8,14 @@
    signatures' agreement. A larger one is met twice: its nodes are set against the region's most typical
    node, in blocks, and the region is divided by the next minimum, as deep as needed. At full depth it is cut
    into overlapping blocks; ties are in another order in each tree.
-4. What agrees well enough forms candidate groups of at most ``BLOCK`` + 1 nodes. Equal groups of several trees are one. The
+4. What agrees well enough forms candidate groups, bounded in nodes and in shingles. Equal groups of several trees are one. The
    groups' full shingle sets are fetched and intersected exactly; confirmed links become edges to the group's root.
 5. Connected components over the edges give each node its class so far.
-6. What large regions may have left out is met after that: the minima are read again as ``BANDS`` cells of ``TREES * DEPTH / BANDS``
-   minima, and in each cell all nodes of different classes are compared, whatever the cell's size. Cells of more than ``BLOCK`` nodes
-   are dealt out as pairs of blocks over tasks; the nodes of the cell's largest class need not meet each other, so a family that
-   hangs together costs nothing. Candidates are confirmed as before, and their links join classes.
+6. What large regions, region borders and partition borders left out is met after that, so that the result hangs on none of them:
+   the signature is read again as ``BANDS`` cells, and in each cell all nodes of different classes are compared, whatever the cell's
+   size. Large cells are dealt out as pairs of blocks over tasks; the nodes of the cell's largest class need not meet each other,
+   so a family that hangs together costs nothing. A pair is taken up in the first cell that it shares only. Candidates are confirmed
+   as before, and their links join classes.
 """
 
 from __future__ import annotations
@@ -36,10 +37,21 @@ DEPTH = 12
 BLOCK = 256
 #: How far below the threshold the agreement of two signatures may lie: over four standard deviations.
 SLACK = 0.17
-#: Agreement at which a node needs no further search beside the typical node of its region.
-SURE = 0.96
-#: Cells of four minima: a link of similarity s has no cell of its own with odds (1 - s**4)**24, 2e-8 at 0.85 and 3e-6 at 0.8.
+#: How far above the threshold the agreement with the typical node of a region must lie for a node to leave the region: it is then linked as a rule,
+#: and what its links are needed for is met in the cells.
+SURE = 0.02
+#: Cells of four minima (their lowest bytes): a link of similarity s has no common cell with odds (1 - s**4)**24, 2e-8 at 0.85 and 3e-6 at 0.8.
 BANDS = 24
+#: Nodes in each of the two blocks that meet in one unit of a large cell.
+HALF = 1024
+#: Nodes of a group that is confirmed at once.
+GROUP = 1024
+#: Sets up to which a shingle's pairs of sets are counted one by one.
+FEW = 24
+#: Shingles whose sets are held at once to confirm a group; a longer text stands alone or with one other.
+FULL = 1 << 18
+#: Wanted nodes up to which their texts are found by a bitmap (8 MB at most); beyond, by a join.
+MARKED = 1 << 22
 _U = np.uint64
 
 
@@ -96,8 +108,8 @@ def signatures(sets: list[np.ndarray], count: int, seed: int = 11) -> np.ndarray
     return out
 
 
-def _sign(size: int):
-    schema = "doc_id long, n_shingles long, node binary, sig binary, low binary"
+def _sign(size: int, id_type: str):
+    schema = f"doc_id {id_type}, text string, n_shingles long, node binary, sig binary, low binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _text.slices(batches, 1):
@@ -109,12 +121,13 @@ def _sign(size: int):
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
+                    batch.column(1),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([_digest(s) if len(s) else None for s in sets], pa.binary()),
                     pa.array([wide[i * w : (i + 1) * w] for i in range(len(sets))], pa.binary()),
                     pa.array([low[i * w // 4 : (i + 1) * w // 4] for i in range(len(sets))], pa.binary()),
                 ],
-                ["doc_id", "n_shingles", "node", "sig", "low"],
+                ["doc_id", "text", "n_shingles", "node", "sig", "low"],
             )
 
     return run, schema
@@ -132,11 +145,50 @@ def _labels(near: np.ndarray) -> np.ndarray:
         label = new
 
 
+def _blocks(index: np.ndarray, sizes: np.ndarray, most: int) -> list[np.ndarray]:
+    """``index`` cut into blocks of at most ``most`` nodes and FULL shingles; a larger node is a block of its own."""
+    ends, at, out = np.cumsum(sizes[index]), 0, []
+    while at < len(index):
+        before = int(ends[at - 1]) if at else 0
+        end = min(at + most, max(at + 1, int(np.searchsorted(ends, before + FULL, side="right"))))
+        out.append(index[at:end])
+        at = end
+    return out
+
+
+def tiles(label: np.ndarray, left: np.ndarray, right: np.ndarray, sizes: np.ndarray, last: np.ndarray | None = None) -> Iterator[np.ndarray]:
+    """Groups that hold each candidate pair (left, right) at least once: a component each, or pairs of its blocks if it is large.
+
+    ``label`` is the component of each node under the pairs; nodes in ``last`` have no pair among themselves and go to blocks of their own, as far as may be.
+    """
+    if not len(left):
+        return
+    order = np.argsort(label[left], kind="stable")
+    left, right = left[order], right[order]
+    cut = np.flatnonzero(np.diff(label[left])) + 1
+    for a, b in zip(np.split(left, cut), np.split(right, cut)):
+        nodes = np.unique(np.concatenate([a, b]))
+        if len(nodes) <= GROUP and (len(nodes) == 2 or sizes[nodes].sum() <= FULL):
+            yield nodes
+            continue
+        block = np.zeros(nodes[-1] + 1, np.int64)
+        if last is not None:
+            nodes = nodes[np.argsort(last[nodes], kind="stable")]
+        for i, part in enumerate(_blocks(nodes, sizes, GROUP // 2)):
+            block[part] = i
+        x, y = np.minimum(block[a], block[b]), np.maximum(block[a], block[b])
+        pair = x * (block.max() + 1) + y
+        order = np.argsort(pair, kind="stable")
+        at = np.flatnonzero(np.diff(pair[order])) + 1
+        for one, other in zip(np.split(a[order], at), np.split(b[order], at)):
+            yield np.unique(np.concatenate([one, other]))
+
+
 class _Regions:
     """Candidate groups of one sorted stretch of nodes that share a tree and the first minimum."""
 
-    def __init__(self, keys: np.ndarray, low: np.ndarray, nodes: list[bytes], least: float):
-        self.keys, self.low, self.nodes, self.least = keys, low, nodes, least
+    def __init__(self, keys: np.ndarray, low: np.ndarray, nodes: list[bytes], sizes: np.ndarray, least: float):
+        self.keys, self.low, self.nodes, self.sizes, self.least = keys, low, nodes, sizes, least
         self.groups: list[list[bytes]] = []
 
     def emit(self, index: np.ndarray) -> None:
@@ -149,11 +201,9 @@ class _Regions:
                 self.emit(index)
             return
         near = (low[:, None, :] == low[None, :, :]).mean(axis=2) >= self.least
-        label = _labels(near)
-        for x in np.unique(label).tolist():
-            part = index[label == x]
-            if len(part) > 1:
-                self.emit(part)
+        left, right = np.nonzero(np.triu(near, 1))
+        for part in tiles(_labels(near), left, right, self.sizes[index]):
+            self.emit(index[part])
 
     def typical(self, index: np.ndarray) -> int:
         """The node that agrees most with the commonest value of each place."""
@@ -161,7 +211,8 @@ class _Regions:
         mode = np.array([np.bincount(c, minlength=256).argmax() for c in low.T], np.uint8)
         return int(index[(low == mode).sum(axis=1).argmax()])
 
-    def divide(self, index: np.ndarray, depth: int) -> None:
+    def divide(self, index: np.ndarray, depth: int, before: int = -1) -> None:
+        """Groups of one region; ``before`` is the typical node of the region around it, with which it has been met."""
         while depth < DEPTH and len(index) > BLOCK and (self.keys[index, depth] == self.keys[index[0], depth]).all():
             depth += 1
         if len(index) < 2:
@@ -171,32 +222,32 @@ class _Regions:
             return
         middle = self.typical(index)
         agree = (self.low[index] == self.low[middle]).mean(axis=1)
-        around = index[(agree >= self.least) & (index != middle)]
-        for at in range(0, len(around), BLOCK):
-            self.emit(np.concatenate([[middle], around[at : at + BLOCK]]))
-        rest = index[(agree < SURE) | (index == middle)]
+        around = index[(agree >= self.least) & (index != middle)] if middle != before else index[:0]
+        for part in _blocks(around, self.sizes, BLOCK):
+            self.emit(np.concatenate([[middle], part]))
+        rest = index[(agree < self.least + SLACK + SURE) | (index == middle)]
         if depth >= DEPTH or len(rest) <= BLOCK:
             for at in range(0, max(1, len(rest) - 1), BLOCK - 1):
                 self.compare(rest[at : at + BLOCK])
             return
         at = np.flatnonzero(np.diff(self.keys[rest, depth].astype(np.int64), prepend=-1))
         for part in np.split(rest, at[1:]):
-            self.divide(part, depth + 1)
+            self.divide(part, depth + 1, middle)
 
 
-def _candidates(least: float):
-    """Candidate groups from rows sorted by tree and key; a region over 32768 rows is handled in stretches."""
+def _candidates(least: float, stretch: int = 32768):
+    """Candidate groups from rows sorted by tree and key; a region over ``stretch`` rows is handled in stretches, which meet in cells only."""
     schema = "gid binary, nodes array<binary>"
     out_schema = pa.schema([("gid", pa.binary()), ("nodes", pa.list_(pa.binary()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def groups(rows: list[tuple[np.ndarray, np.ndarray, list[bytes]]]):
+        def groups(rows: list[tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]]):
             keys, low = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows])
-            nodes = [x for r in rows for x in r[2]]
+            nodes, sizes = [x for r in rows for x in r[2]], np.concatenate([r[3] for r in rows])
             at = np.flatnonzero(np.diff(keys[:, 0], prepend=-1))
             ends = np.append(at[1:], len(keys))
             many = np.flatnonzero(ends - at > 1)
-            found = _Regions(keys[:, 1:], low, nodes, least)
+            found = _Regions(keys[:, 1:], low, nodes, sizes, least)
             for i in many.tolist():
                 found.divide(np.arange(at[i], ends[i]), 1)
             unique = {hashlib.blake2b(b"".join(sorted(g)), digest_size=16).digest(): g for g in found.groups}
@@ -212,15 +263,15 @@ def _candidates(least: float):
             low = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, TREES * DEPTH)
             first = tree.astype(np.int64) << 32 | key[:, 0]
             keys = np.column_stack([first, key.astype(np.int64)])
-            held.append((keys, low, batch.column(2).to_pylist()))
+            held.append((keys, low, batch.column(2).to_pylist(), batch.column(5).to_numpy()))
             size += batch.num_rows
             last = np.flatnonzero(first != first[-1])
-            if size >= 32768 or (size >= 8192 and len(last)):
+            if size >= stretch or (size >= stretch // 4 and len(last)):
                 if len(last) and last[-1] + 1 < batch.num_rows:  # the last region may go on in the next batch
                     cut = int(last[-1]) + 1
-                    k, lo, ids = held.pop()
-                    yield groups([*held, (k[:cut], lo[:cut], ids[:cut])])
-                    held, size = [(k[cut:], lo[cut:], ids[cut:])], len(k) - cut
+                    rows = held.pop()
+                    yield groups([*held, tuple(x[:cut] for x in rows)])
+                    held, size = [tuple(x[cut:] for x in rows)], batch.num_rows - cut
                 else:
                     yield groups(held)
                     held, size = [], 0
@@ -230,24 +281,58 @@ def _candidates(least: float):
     return run, schema
 
 
+def _meeting(root: np.ndarray, low: np.ndarray, band: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(left, right) of the pairs in one unit that agree, have different roots and share no cell before ``band``."""
+    names, counts = np.unique(root, return_counts=True)
+    top = root == names[counts.argmax()]
+    order = np.concatenate([np.flatnonzero(~top), np.flatnonzero(top)])  # rows of the largest class don't meet each other
+    low, root, rest = low[order], root[order], int((~top).sum())
+    cells = np.ascontiguousarray(low).view(np.uint32)
+    lefts, rights = [], []
+    step = max(1, 16_000_000 // (low.shape[1] * len(low)))
+    for at in range(0, rest, step):
+        end = min(rest, at + step)
+        near = (low[at:end, None, :] == low[None, at:, :]).sum(axis=2, dtype=np.int32) >= least * low.shape[1]
+        i, j = np.nonzero(near)
+        i, j = i[j > i] + at, j[j > i] + at
+        keep = root[i] != root[j]
+        i, j = i[keep], j[keep]
+        for k in range(0, len(i), 100_000):
+            a, b = i[k : k + 100_000], j[k : k + 100_000]
+            first = (cells[a, : band + 1] == cells[b, : band + 1]).argmax(axis=1) == band
+            lefts.append(order[a[first]])
+            rights.append(order[b[first]])
+    empty = np.zeros(0, np.int64)
+    return np.concatenate([empty, *lefts]), np.concatenate([empty, *rights])
+
+
+def _components(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Smallest index that pairs lead to, of each of ``n`` nodes."""
+    label = np.arange(n)
+    while True:
+        new = label.copy()
+        np.minimum.at(new, left, label[right])
+        np.minimum.at(new, right, label[left])
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
 def _meet(least: float):
-    """Candidate groups among nodes of different classes, from rows (unit, node, root, low) sorted by unit; a unit is held whole."""
+    """Candidate groups among nodes of different classes, from rows (unit, node, root, low, n_shingles, band) sorted by unit; a unit is held whole."""
     schema = "gid binary, nodes array<binary>"
     out_schema = pa.schema([("gid", pa.binary()), ("nodes", pa.list_(pa.binary()))])
 
     def groups(table: pa.Table, at: list[int]) -> pa.RecordBatch:
         nodes, found = table.column(1).to_pylist(), {}
-        root = np.unique(np.array([x.hex() for x in table.column(2).to_pylist()]), return_inverse=True)[1]
+        root, sizes, band = (table.column(i).to_numpy() for i in (2, 4, 5))
         low = np.frombuffer(b"".join(table.column(3).to_pylist()), np.uint8).reshape(-1, TREES * DEPTH)
         for a, b in zip(at, [*at[1:], len(nodes)]):
-            if b - a == 2:
-                parts = [[a, a + 1]] if root[a] != root[a + 1] and (low[a] == low[a + 1]).mean() >= least else []
-            else:
-                near = (low[a:b, None, :] == low[None, a:b, :]).mean(axis=2) >= least
-                label = _labels(near & (root[a:b, None] != root[None, a:b]))
-                parts = [(a + np.flatnonzero(label == x)).tolist() for x, n in zip(*np.unique(label, return_counts=True)) if n > 1]
-            for part in parts:
-                g = [nodes[i] for i in part]
+            left, right = _meeting(root[a:b], low[a:b], int(band[a]), least)
+            names, counts = np.unique(root[a:b], return_counts=True)
+            for part in tiles(_components(b - a, left, right), left, right, sizes[a:b], root[a:b] == names[counts.argmax()]):
+                g = [nodes[a + i] for i in part.tolist()]
                 found[hashlib.blake2b(b"".join(sorted(g)), digest_size=16).digest()] = g
         return pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), out_schema.field("nodes").type)], schema=out_schema)
 
@@ -268,41 +353,58 @@ def _meet(least: float):
     return run, schema
 
 
-def _units(classes: DataFrame, rooted: DataFrame, scratch: Scratch) -> DataFrame:
-    """(unit, node, root, low): each two nodes of different classes that share a cell are in one unit at least, of about BLOCK rows at most."""
-    wide = 4 * TREES * DEPTH // BANDS
-    cell = F.explode(F.array(*[F.xxhash64(F.lit(b), F.substring("sig", wide * b + 1, wide)) for b in range(BANDS)]))
-    cells = rooted.join(classes.select("node", "sig"), "node").select(cell.alias("cell"), "node", "root")
-    mixed = cells.groupBy("cell", "root").agg(F.count("*").alias("n")).groupBy("cell")
-    mixed = scratch.write(mixed.agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("root", "n").alias("top")).where("n > most"), "mixed")
-    half = BLOCK // 2
-    rows = cells.join(mixed, "cell").join(classes.select("node", "low"), "node")
-    rows = rows.withColumn("tops", F.ceil(F.col("most") / half)).withColumn("rests", F.ceil((F.col("n") - F.col("most")) / half)).withColumn("h", F.xxhash64("cell", "node"))
+def _units(nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """(unit, node, root, low, n_shingles, band): each two nodes of different classes that share a cell are in one unit at least, of about 2 * HALF rows at most.
+
+    Cells whose nodes are all of one class are found by one aggregate over fixed-width numbers and leave at once. ``root`` is a 64-bit hash.
+    """
+    wide = TREES * DEPTH // BANDS
+    nodes = nodes.select("node", "low", "n_shingles", F.xxhash64("root").alias("root"))
+    cell = F.explode(F.array(*[F.struct(F.lit(b).cast("byte").alias("band"), F.xxhash64(F.lit(b), F.substring("low", wide * b + 1, wide)).alias("cell")) for b in range(BANDS)]))
+    cells = nodes.select(cell.alias("c"), "root", "node").select("c.cell", "c.band", "root", "node")
+    mixed = cells.groupBy("cell").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("cell")
+    rows = scratch.write(cells.join(mixed, "cell", "left_semi"), "mixed", "snappy")
+    large = rows.groupBy("cell", "root").agg(F.count("*").alias("n")).groupBy("cell").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("root", "n").alias("top")).where(F.col("n") > 2 * HALF)
+    rows = rows.join(scratch.write(large, "large", "snappy"), "cell", "left")
+    rows = rows.withColumn("tops", F.ceil(F.col("most") / HALF)).withColumn("rests", F.ceil((F.col("n") - F.col("most")) / HALF)).withColumn("h", F.xxhash64("cell", "node"))
     rows = rows.withColumn("is_top", F.col("root") == F.col("top")).withColumn("at", F.when(F.col("is_top"), -1 - F.expr("pmod(h, tops)")).otherwise(F.expr("pmod(h, rests)")))
     pair = lambda a, b: F.xxhash64("cell", a, b)
     rests = F.transform(F.expr("sequence(0L, rests - 1)"), lambda r: F.when(F.col("is_top"), pair(r, F.col("at"))).otherwise(pair(F.least(r, "at"), F.greatest(r, "at"))))
     tops = F.when(F.col("is_top"), F.expr("array()").cast("array<bigint>")).otherwise(F.transform(F.expr("sequence(1L, tops)"), lambda t: pair(F.col("at"), -t)))
-    unit = F.when(F.col("n") <= BLOCK, F.array("cell")).otherwise(F.concat(rests, tops))
-    return rows.select(F.explode(unit).alias("unit"), "node", "root", "low")
+    unit = F.when(F.col("n").isNull(), F.array("cell")).otherwise(F.concat(rests, tops))
+    return rows.select(F.explode(unit).alias("unit"), "node", "root", "band").join(nodes.select("node", "low", "n_shingles"), "node").select("unit", "node", "root", "low", "n_shingles", "band")
 
 
 def confirm(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
     """Component of each set (smallest index) under links with den * intersection >= num * union."""
     n = len(sets)
-    values, back, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    owner = np.repeat(np.arange(n), [len(s) for s in sets])
-    shared = counts[back] > 1
-    place = np.cumsum(counts > 1) - 1
-    column, owner = place[back[shared]], owner[shared]
-    width = int((counts > 1).sum())
-    common = np.zeros((n, n), np.float64)
+    _, back, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    order = np.argsort(back, kind="stable")
+    owner = np.repeat(np.arange(n), [len(s) for s in sets])[order]
+    starts = np.cumsum(counts) - counts
+    common = np.zeros((n, n))
+    # Shingles of few sets: each pair of their owners is counted.
+    held: list[np.ndarray] = []
+    for c in range(2, FEW + 1):
+        at = starts[counts == c]
+        if len(at):
+            own = owner[at[:, None] + np.arange(c)]
+            for i in range(c - 1):
+                held.append((own[:, i, None] * n + own[:, i + 1 :]).ravel())
+                if sum(map(len, held)) > 4_000_000:
+                    common += np.bincount(np.concatenate(held), minlength=n * n).reshape(n, n)
+                    held = []
+    if held:
+        common += np.bincount(np.concatenate(held), minlength=n * n).reshape(n, n)
+    common += common.T
+    # Shingles of many sets: columns of a matrix, some at a time.
+    many = np.flatnonzero(counts > FEW)
     step = max(1, 8_000_000 // n)
-    order = np.argsort(column, kind="stable")
-    column, owner = column[order], owner[order]
-    for at in range(0, width, step):
-        a, b = np.searchsorted(column, [at, at + step])
-        part = np.zeros((n, min(step, width - at)), np.float32)
-        part[owner[a:b], column[a:b] - at] = 1
+    for at in range(0, len(many), step):
+        some = many[at : at + step]
+        part = np.zeros((n, len(some)), np.float32)
+        rows = np.concatenate([owner[starts[v] : starts[v] + counts[v]] for v in some])
+        part[rows, np.repeat(np.arange(len(some)), counts[some])] = 1
         common += part @ part.T
     size = np.array([len(s) for s in sets], np.float64)
     union = size[:, None] + size[None, :] - common
@@ -319,17 +421,24 @@ def _confirm(num: int, den: int):
     return run
 
 
-def _fetch(size: int, bits: int, bitmap: bytes):
-    """Shingle sets of texts whose node may be wanted: a bitmap of bounded size lets through few others."""
-    held = np.frombuffer(bitmap, np.uint8)
+def _fetch(size: int, bits: int, bitmap: bytes | None):
+    """Shingle sets of texts, by (node, text); with a bitmap, of those whose node may be wanted: it lets through few others."""
+    held = None if bitmap is None else np.frombuffer(bitmap, np.uint8)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _text.slices(batches):
-            sets = [s for s in shingle_sets(batch.column(0), size) if len(s)]
-            nodes = [_digest(s) for s in sets]
-            place = [int.from_bytes(x[:6], "big") & ((1 << bits) - 1) for x in nodes]
-            first = {nodes[i]: sets[i] for i, p in enumerate(place) if held[p >> 3] >> (p & 7) & 1}
-            yield pa.RecordBatch.from_arrays([pa.array(list(first), pa.binary()), pa.array([s.tobytes() for s in first.values()], pa.binary())], ["node", "members"])
+        def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                first: dict[bytes, int] = {}
+                for i, x in enumerate(batch.column(0).to_pylist()):
+                    p = int.from_bytes(x[:6], "big") & ((1 << bits) - 1)
+                    if held is None or held[p >> 3] >> (p & 7) & 1:
+                        first.setdefault(x, i)
+                if first:
+                    yield batch.take(pa.array(list(first.values())))
+
+        for batch in _text.slices(some(batches), 1):
+            sets = shingle_sets(batch.column(1), size)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "members"])
 
     return run
 
@@ -344,54 +453,63 @@ def _bitmap(nodes: DataFrame, bits: int) -> bytes:
     return bytes(out)
 
 
-def near_dedup(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_dedup(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", stretch: int = 32768) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every input row.
 
     Documents are linked when den * |intersection| >= num * |union| of their sets of ``words``-word shingles; a text
     of fewer words is one shingle; a null or empty text has none and is linked with nothing. component_id is the smallest id
-    of the documents that links reach, itself included; rows with one id and one class are all kept or
+    of the documents that links reach, itself included; ids may be of any orderable type; rows with one id and one class are all kept or
     all dropped together. A null id is its own component only if every id of the class is null.
-    An empty table gives an empty result; other columns are ignored.
+    Very long texts are read whole; two of them at once are the most that one task must hold to confirm a link.
+    An empty table gives an empty result; other columns are ignored, whatever they are called.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "near-dedup")
-    run, schema = _sign(words)
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = scratch.write(base.mapInArrow(run, schema), "signed")
-    classes = scratch.write(signed.where("n_shingles > 0").groupBy("node").agg(F.first("sig").alias("sig"), F.first("low").alias("low"), F.min("doc_id").alias("least")), "classes")
-    trees = classes.select(F.explode(F.array(*[F.struct(F.lit(t).alias("tree"), F.substring("sig", 4 * DEPTH * t + 1, 4 * DEPTH).alias("key")) for t in range(TREES)])).alias("x"), "low", "node")
-    trees = trees.select("x.key", "low", "node", "x.tree", F.xxhash64("x.tree", "node").alias("tie"))
+    run, schema = _sign(words, dict(docs.dtypes)[id_col])
+    signed = scratch.write(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema), "signed")
+    full = signed.where("n_shingles > 0")
+    classes = scratch.write(full.groupBy("node").agg(F.first("sig").alias("sig"), F.first("low").alias("low"), F.first("n_shingles").alias("n_shingles"), F.min("doc_id").alias("least")), "classes", "snappy")
+    trees = classes.select(F.explode(F.array(*[F.struct(F.lit(t).alias("tree"), F.substring("sig", 4 * DEPTH * t + 1, 4 * DEPTH).alias("key")) for t in range(TREES)])).alias("x"), "low", "node", "n_shingles")
+    trees = trees.select("x.key", "low", "node", "x.tree", F.xxhash64("x.tree", "node").alias("tie"), "n_shingles")
     trees = trees.repartitionByRange(shuffle_width(spark), "tree", "key", "tie", "node").sortWithinPartitions("tree", "key", "tie", "node")
-    run, schema = _candidates(num / den - SLACK)
-    groups = scratch.write(trees.mapInArrow(run, schema).groupBy("gid").agg(F.first("nodes").alias("nodes")), "groups")
+    run, schema = _candidates(num / den - SLACK, stretch)
+    groups = scratch.write(trees.mapInArrow(run, schema).groupBy("gid").agg(F.first("nodes").alias("nodes")), "groups", "snappy")
 
     def confirmed(groups: DataFrame) -> DataFrame:
         members = groups.select("gid", F.explode("nodes").alias("node"))
         wanted = members.select("node").distinct()
-        bits = min(27, max(15, (16 * max(1, wanted.count())).bit_length()))
-        sets = base.select("text").mapInArrow(_fetch(words, bits, _bitmap(wanted, bits)), "node binary, members binary")
+        n, texts = wanted.count(), full.select("node", "text")
+        if n <= MARKED:
+            bits = max(15, (16 * max(1, n)).bit_length())
+            sets = texts.mapInArrow(_fetch(words, bits, _bitmap(wanted, bits)), "node binary, members binary")
+        else:
+            sets = texts.join(wanted, "node", "left_semi").mapInArrow(_fetch(words, 0, None), "node binary, members binary")
         sets = sets.groupBy("node").agg(F.first("members").alias("members"))
         return members.join(sets, "node").groupBy("gid").applyInArrow(_confirm(num, den), "u binary, v binary")
 
     linked = components(confirmed(groups), scratch)
-    rooted = scratch.write(classes.select("node").join(linked, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "rooted")
+    nodes = classes.select("node", "low", "n_shingles", "least").join(linked, "node", "left")
+    nodes = scratch.write(nodes.select("node", "low", "n_shingles", "least", F.coalesce("root", "node").alias("root")), "nodes", "snappy")
     run, schema = _meet(num / den - SLACK)
-    units = _units(classes, rooted, scratch).repartition(shuffle_width(spark), "unit").sortWithinPartitions("unit", "node")
+    units = _units(nodes, scratch).repartition(shuffle_width(spark), "unit").sortWithinPartitions("unit", "node")
     more = units.mapInArrow(run, schema).groupBy("gid").agg(F.first("nodes").alias("nodes")).join(groups.select("gid"), "gid", "left_anti")
-    more = scratch.write(more, "more")
+    more = scratch.write(more, "more", "snappy")
+    labelled = nodes.select("node", "least", "root")
     if not more.isEmpty():
-        edges = confirmed(more)
-        for end in ("u", "v"):
-            edges = edges.join(rooted.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root")), end)
-        joined = components(edges.select(F.col("u_root").alias("u"), F.col("v_root").alias("v")), Scratch(spark, "near-dedup-more"))
-        joined = joined.select(F.col("node").alias("root"), F.col("root").alias("whole"))
-        rooted = rooted.join(joined, "root", "left").select("node", F.coalesce("whole", "root").alias("root"))
-    labelled = classes.select("node", "least").join(rooted, "node")
+        edges = scratch.write(confirmed(more), "edges", "snappy")
+        if not edges.isEmpty():
+            for end in ("u", "v"):
+                edges = edges.join(nodes.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root")), end)
+            joined = components(edges.select(F.col("u_root").alias("u"), F.col("v_root").alias("v")), Scratch(spark, "near-dedup-more"))
+            joined = joined.select(F.col("node").alias("root"), F.col("root").alias("whole"))
+            labelled = scratch.write(labelled.join(joined, "root", "left").select("node", "least", F.coalesce("whole", "root").alias("root")), "labelled", "snappy")
     lowest = labelled.where("root <> node").groupBy("root").agg(F.min("least").alias("other"))
     roots = labelled.where("root = node").join(lowest, "root", "left").select("root", F.least("least", "other").alias("component"))
-    of_node = scratch.write(labelled.join(roots, "root").select("node", "component"), "of_node")
-    some = signed.where("n_shingles > 0").select("doc_id", "n_shingles", "node").join(of_node, "node").select("doc_id", "n_shingles", F.col("component").alias("component_id"))
+    of_node = scratch.write(labelled.join(roots, "root").select("node", "component"), "of_node", "snappy")
+    some = full.select("doc_id", "n_shingles", "node").join(of_node, "node").select("doc_id", "n_shingles", F.col("component").alias("component_id"))
     none = signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    for done in ("classes", "groups", "nodes", "mixed", "large", "more", "edges", "labelled"):
+        scratch.drop(done)
     return some.unionByName(none).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 

@@ -1,5 +1,6 @@
 """Exact and near deduplication against brute force."""
 
+import functools
 import hashlib
 import random
 import re
@@ -152,3 +153,73 @@ def test_confirm_is_exact():
             x = len(np.intersect1d(a, b))
             if 100 * x >= 60 * (len(a) + len(b) - x):
                 assert got[i] == got[j]
+
+
+def fringe(rng):
+    """An original, 1200 copies with one word changed, and 150 texts that are each linked with one copy but not with the original."""
+    base = [f"w{i}" for i in range(150)]
+    copies = []
+    for i in range(1200):
+        one = list(base)
+        one[i % 150] = f"c{i}"
+        copies.append(one)
+    rows = [(0, " ".join(base))] + [(1 + i, " ".join(c)) for i, c in enumerate(copies)]
+    for i in range(150):
+        far = list(copies[7 * i])
+        at = (i + 40) % 140
+        far[at : at + 9] = [f"f{i}-{j}" for j in range(9)]
+        rows.append((5000 + i, " ".join(far)))
+    return rows
+
+
+@functools.cache
+def fringe_classes():
+    """Rows of fringe() and their classes, from the whole matrix of intersections."""
+    rows = fringe(random.Random(8))
+    sets = [{tuple(w[i : i + 3]) for i in range(len(w) - 2)} for w in (t.split() for _, t in rows)]
+    place = {x: i for i, x in enumerate(sorted(set().union(*sets)))}
+    held = np.zeros((len(rows), len(place)), np.float32)
+    for i, s in enumerate(sets):
+        held[i, [place[x] for x in s]] = 1
+    common, size = held @ held.T, held.sum(axis=1)
+    near, label = 100 * common >= 85 * (size[:, None] + size[None, :] - common), np.arange(len(rows))
+    assert not near[0, 1201:].any()
+    for _ in range(len(rows)):
+        new = np.where(near, label[None, :], len(rows)).min(axis=1)
+        if (new == label).all():
+            break
+        label = new
+    return rows, sorted((repr(d), len(sets[i]), repr(rows[label[i]][0])) for i, (d, _) in enumerate(rows))
+
+
+@pytest.mark.parametrize("width", [1, 7, 24])
+def test_near_hangs_on_no_partition_count(make, spark, width):
+    """Links that only single members of a large region have, with region stretches far shorter than the region."""
+    rows, want = fringe_classes()
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", width)
+    try:
+        assert near(make(rows).repartition(5), words=3, num=85, stretch=500) == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_near_on_text_ids(spark):
+    rows = [("b", "one two three four five six"), ("a", "one  two three\tfour five six"), ("c", "other words stand here"), (None, None)]
+    got = {r.doc_id: (r.component_id, r.kept) for r in N.near_dedup(spark.createDataFrame(rows, "doc_id string, text string"), words=3, num=85).collect()}
+    assert got == {"a": ("a", True), "b": ("a", False), "c": ("c", True), None: (None, True)}
+
+
+def test_tiles_hold_every_pair():
+    rng = np.random.default_rng(4)
+    n = 900
+    left, right = rng.integers(0, n, 4000), rng.integers(0, n, 4000)
+    left, right = np.minimum(left, right), np.maximum(left, right)
+    left, right = left[left != right], right[left != right]
+    sizes = rng.integers(1, 20_000, n)
+    label = N._components(n, left, right)
+    held = set()
+    for part in N.tiles(label, left, right, sizes):
+        assert len(part) <= N.GROUP and (len(part) <= 2 or sizes[part].sum() <= 2 * N.FULL)
+        held |= {(a, b) for a in part.tolist() for b in part.tolist()}
+    assert all((a, b) in held for a, b in zip(left.tolist(), right.tolist()))
