@@ -1,13 +1,14 @@
 """Document scores by masked pseudo-likelihood of a bidirectional window network trained in numpy.
 
-Words are hashed to buckets; a count over the whole corpus names the most frequent buckets, which are classes of their own, and
-the others share a few classes. The network predicts each word's class, the word's share of its class follows from counts of all words of the
-corpus, and a word's probability is their product, which sums to 1 over all words. The commonest SHIPPED words' counts go to the
-tasks, those of all others are joined. The network predicts each class from the tokens up to RADIUS before and after it, itself left
-out: embeddings by offset are summed, passed through tanh and a softmax layer. Every task trains a copy on all of its
-documents; copies are averaged by their numbers of tokens, summed weight by weight in a shuffle, so neither the counts
-nor the training rest on a sample. A document's scores are the sums of its words' and of
-their classes' conditional log-probabilities.
+Every word of the corpus is counted, so the vocabulary grows with the corpus. The VOCABULARY commonest words are tokens of their own, in
+classes of WITHIN words by rank; every other word has one of SHAPES classes by its last bytes. The network sees the tokens up to RADIUS before and
+after a place, itself left out: their embeddings, gated by offset, are summed and passed through tanh. From this hidden layer one softmax
+gives the place's class and a second one, of the class's own, gives the word within it. Within a class of other words a word has its share of the
+class's occurrences. So P(word) = P(class) * P(word | class), which sums to 1 over all words of the corpus, each part is normalised exactly, and no word
+costs more than the two short softmaxes.
+
+Every task trains a copy on all of its documents; copies are averaged by their numbers of tokens, in groups of GROUP copies level by level, so
+neither the counts nor the training rest on a sample and no task sees all copies. A document's score is the sum of its words' conditional log-probabilities.
 """
 
 from __future__ import annotations
@@ -16,234 +17,344 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataquill.llm import _text
 from strataquill.llm._store import Scratch
-from strataquill.shipping import ship
 
-BUCKETS = 1 << 16
-FREQUENT, CLASSES = 64, 32
-TOKENS = FREQUENT + CLASSES
-RADIUS, WIDTH = 2, 12
-STEP = 2048
+VOCABULARY, WITHIN, SHAPES = 8192, 128, 32
+TOP = VOCABULARY // WITHIN
+CLASSES = TOP + SHAPES
+#: Tokens beside the vocabulary: one for each shape, then what stands beyond the ends of a text.
+PAD = VOCABULARY + SHAPES
+RADIUS, WIDTH = 3, 16
+#: Tokens of one step of the optimiser.
+STEP = 8192
 RATE = 0.02
-#: At most so many words' counts are sent to tasks.
+#: At most so many words' counts are sent to tasks; the others' are joined.
 SHIPPED = 1 << 17
+#: Distinct words that a task counts before it passes them on.
+HELD = 1 << 19
+#: Copies that are averaged at once, and weights in each row.
+GROUP, CHUNK = 64, 8192
 
 
-def _hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
-    """(hash of each word, its text, number of texts)."""
+def _hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(hash of each word, its shape, its text, number of texts)."""
     data, offsets = _text.utf8(texts)
-    hashes, _, _, text = _text.words(data, offsets)
-    return hashes, text, len(offsets) - 1
+    hashes, _, ends, text = _text.words(data, offsets)
+    last = data[ends - 1].astype(np.int64) if len(ends) else np.zeros(0, np.int64)
+    before = data[np.maximum(ends - 2, 0)].astype(np.int64) if len(ends) else last
+    last, before = _text._LOWER[last].astype(np.int64), _text._LOWER[before].astype(np.int64)
+    return hashes.view(np.int64), (last * 7 + before * 31) % SHAPES, text, len(offsets) - 1
 
 
-def _buckets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
-    """(bucket of each word, its text, number of texts)."""
-    hashes, text, n = _hashes(texts)
-    return (hashes >> np.uint64(48)).astype(np.int64), text, n
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct words with their counts; a task holds at most HELD of them and one slice's."""
 
+    def summed(parts):
+        word, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        n = np.bincount(at, np.concatenate([p[2] for p in parts]), minlength=len(word)).astype(np.int64)
+        shape = np.zeros(len(word), np.int64)
+        shape[at] = np.concatenate([p[1] for p in parts])
+        return word, shape, n
 
-def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def row(part):
+        return pa.RecordBatch.from_arrays([pa.array(part[0]), pa.array(part[1].astype(np.int32)), pa.array(part[2])], ["word", "shape", "n"])
+
+    held: list = []
     for batch in _text.slices(batches):
-        word, n = np.unique(_hashes(batch.column(0))[0].view(np.int64), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(n.astype(np.int64))], ["word", "n"])
+        word, shape, _, _ = _hashes(batch.column(0))
+        held.append((word, shape, np.ones(len(word), np.int64)))
+        if sum(len(p[0]) for p in held) >= HELD:
+            held = [summed(held)]
+            if len(held[0][0]) >= HELD // 2:
+                yield row(held[0])
+                held = []
+    if held:
+        yield row(summed(held))
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(BUCKETS, np.int64)
-    for batch in _text.slices(batches):
-        counts += np.bincount(_buckets(batch.column(0))[0], minlength=BUCKETS)
-    some = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(counts[some])], ["bucket", "n"])
+class Vocabulary:
+    """Tokens of words: ``words`` are the own ones' hashes, the commonest first."""
+
+    def __init__(self, words: np.ndarray, counts: np.ndarray, shape_counts: np.ndarray):
+        self.order = np.argsort(words)
+        self.sorted = words[self.order]
+        self.counts, self.shape_counts = counts, shape_counts
 
+    def tokens(self, word: np.ndarray, shape: np.ndarray) -> np.ndarray:
+        """The token of each word."""
+        if not len(self.sorted):
+            return (VOCABULARY + shape).astype(np.int16)
+        at = np.minimum(np.searchsorted(self.sorted, word), len(self.sorted) - 1)
+        return np.where(self.sorted[at] == word, self.order[at], VOCABULARY + shape).astype(np.int16)
 
-def vocabulary(counts: np.ndarray) -> np.ndarray:
-    """Token of each bucket: the most frequent have their own (ties: the smaller bucket), the others one of CLASSES."""
-    token = FREQUENT + np.arange(BUCKETS) % CLASSES
-    top = np.argsort(-counts, kind="stable")[:FREQUENT]
-    top = top[counts[top] > 0]
-    token[top] = np.arange(len(top))
-    return token.astype(np.int16)
+
+def classes(token: np.ndarray) -> np.ndarray:
+    return np.where(token < VOCABULARY, token // WITHIN, TOP + token - VOCABULARY)
 
 
 def contexts(token: np.ndarray, text: np.ndarray) -> np.ndarray:
-    """Tokens at each offset within RADIUS, by row; TOKENS stands beyond the ends of a text."""
+    """Tokens at each offset within RADIUS, by row; PAD stands beyond the ends of a text."""
     n = len(token)
-    out = np.full((2 * RADIUS, n), TOKENS, np.int16)
+    out = np.full((2 * RADIUS, n), PAD, np.int16)
     for k, o in enumerate(o for o in range(-RADIUS, RADIUS + 1) if o):
         a, b = max(0, -o), n - max(0, o)
         if a < b:
             same = text[a:b] == text[a + o : b + o]
-            out[k, a:b] = np.where(same, token[a + o : b + o], TOKENS)
+            out[k, a:b] = np.where(same, token[a + o : b + o], PAD)
     return out
 
 
+def _softmax(z: np.ndarray, whole: float = 1.0) -> np.ndarray:
+    """Rows of shares that sum to ``whole``, in place."""
+    z -= z.max(axis=1, keepdims=True)
+    np.exp(z, out=z)
+    z *= np.float32(whole) / z.sum(axis=1, keepdims=True)
+    return z
+
+
+def _log_share(z: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Logarithm of one chosen share of each row's softmax, in place."""
+    z -= z.max(axis=1, keepdims=True)
+    chosen = z[np.arange(len(own)), own]
+    return chosen - np.log(np.exp(z, out=z).sum(axis=1))
+
+
 class Window:
     """The network. ``weights`` is one flat array, of which the layers are views."""
 
-    def __init__(self, weights: np.ndarray | None = None, seed: int = 1):
-        k, v, d = 2 * RADIUS, TOKENS, WIDTH
-        sizes = [k * (v + 1) * d, d, d * v, v]
+    LAYERS = {"embed": (PAD + 1, WIDTH), "gate": (2 * RADIUS, WIDTH), "bias": (WIDTH,), "out": (WIDTH, CLASSES), "prior": (CLASSES,), "word": (TOP, WIDTH, WITHIN), "share": (TOP, WITHIN)}
+    SIZE = sum(int(np.prod(s)) for s in LAYERS.values())
+
+    def __init__(self, weights: np.ndarray | None = None, vocabulary: Vocabulary | None = None, seed: int = 1):
         if weights is None:
-            rng = np.random.default_rng(seed)
-            weights = rng.normal(0, 0.1, sum(sizes))
-            weights[sizes[0] : sizes[0] + d] = 0
-            weights[-v:] = 0
+            weights = np.random.default_rng(seed).normal(0, 0.1, self.SIZE)
         self.weights = weights.astype(np.float32)
-        cut = np.cumsum([0, *sizes])
-        parts = [self.weights[a:b] for a, b in zip(cut, cut[1:])]
-        self.embed, self.bias, self.out, self.prior = parts[0].reshape(k, v + 1, d), parts[1], parts[2].reshape(d, v), parts[3]
+        self.__dict__ |= self.views(self.weights)
+        if vocabulary is not None:
+            self.gate[:], self.bias[:] = 1 / RADIUS, 0
+            counts = np.zeros(VOCABULARY)
+            counts[: len(vocabulary.counts)] = vocabulary.counts
+            mass = np.concatenate([counts.reshape(TOP, WITHIN).sum(axis=1), vocabulary.shape_counts])
+            self.prior[:] = np.log((mass + 1) / (mass + 1).sum())
+            share = counts.reshape(TOP, WITHIN) + 1e-3
+            self.share[:] = np.log(share / share.sum(axis=1, keepdims=True))
         self.moments = [np.zeros_like(self.weights), np.zeros_like(self.weights)]
         self.steps = 0
 
-    def forward(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(hidden layer, scores of all tokens before the softmax); scores are bounded, as the hidden layer is."""
-        h = self.embed[0][context[0]]
-        for k in range(1, len(context)):
-            h += self.embed[k][context[k]]
-        h += self.bias
-        np.tanh(h, out=h)
-        z = h @ self.out
-        z += self.prior
-        return h, z
+    @classmethod
+    def views(cls, flat: np.ndarray) -> dict[str, np.ndarray]:
+        out, at = {}, 0
+        for name, shape in cls.LAYERS.items():
+            n = int(np.prod(shape))
+            out[name] = flat[at : at + n].reshape(shape)
+            at += n
+        return out
+
+    def hidden(self, context: np.ndarray) -> np.ndarray:
+        h = np.tile(self.bias, (context.shape[1], 1))
+        for k in range(len(context)):
+            h += self.embed[context[k]] * self.gate[k]
+        return np.tanh(h, out=h)
+
+    @staticmethod
+    def by_class(token: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(class, places) of the places with words of the vocabulary."""
+        kind = classes(token).astype(np.int16)
+        order = np.argsort(kind, kind="stable")
+        order = order[: np.searchsorted(kind[order], TOP)]
+        at = np.flatnonzero(np.diff(kind[order])) + 1
+        for part in np.split(order, at):
+            if len(part):
+                yield int(kind[part[0]]), part
 
     def log_prob(self, context: np.ndarray, token: np.ndarray) -> np.ndarray:
-        """Conditional log-probability of each token."""
-        z = self.forward(context)[1]
-        own = z[np.arange(len(token)), token]
-        return own - np.log(np.exp(z, out=z).sum(axis=1))
+        """Conditional log-probability of each token; of another word than the vocabulary's, of its class."""
+        h = self.hidden(context)
+        out = _log_share(h @ self.out + self.prior, classes(token)).astype(np.float64)
+        for c, part in self.by_class(token):
+            out[part] += _log_share(h[part] @ self.word[c] + self.share[c], token[part] % WITHIN)
+        return out
 
     def train(self, context: np.ndarray, token: np.ndarray) -> None:
         """One Adam step on the mean loss."""
         n = len(token)
-        h, d = self.forward(context)
-        np.exp(d, out=d)
-        d *= (1 / (n * d.sum(axis=1)))[:, None]
-        d[np.arange(n), token] -= np.float32(1 / n)
         grad = np.zeros_like(self.weights)
-        g = Window.views(grad)
-        np.matmul(h.T, d, out=g[2])
-        d.sum(axis=0, out=g[3])
+        g = self.views(grad)
+        h = self.hidden(context)
+        d = _softmax(h @ self.out + self.prior, 1 / n)
+        d[np.arange(n), classes(token)] -= np.float32(1 / n)
+        np.matmul(h.T, d, out=g["out"])
+        d.sum(axis=0, out=g["prior"])
         back = d @ self.out.T
+        for c, part in self.by_class(token):
+            own = h[part]
+            d = _softmax(own @ self.word[c] + self.share[c], 1 / n)
+            d[np.arange(len(part)), token[part] % WITHIN] -= np.float32(1 / n)
+            np.matmul(own.T, d, out=g["word"][c])
+            d.sum(axis=0, out=g["share"][c])
+            back[part] += d @ self.word[c].T
         back *= 1 - h * h
-        back.sum(axis=0, out=g[1])
+        back.sum(axis=0, out=g["bias"])
         for k in range(len(context)):
             order = np.argsort(context[k], kind="stable")  # radix sort of 16-bit numbers
             ids = context[k][order]
             at = np.flatnonzero(np.diff(ids, prepend=np.int16(-1)))
-            g[0][k][ids[at]] = np.add.reduceat(back[order], at, axis=0)
+            sums = np.add.reduceat(back[order], at, axis=0)
+            rows = ids[at]
+            g["gate"][k] = (sums * self.embed[rows]).sum(axis=0)
+            g["embed"][rows] += sums * self.gate[k]
         self.steps += 1
         m1, m2 = self.moments
         m1 += np.float32(0.1) * (grad - m1)
-        m2 += np.float32(0.01) * (grad * grad - m2)
+        grad *= grad
+        m2 += np.float32(0.01) * (grad - m2)
         rate = np.float32(RATE / (1 + self.steps / 1600) / (1 - 0.9**self.steps))
         self.weights -= rate * m1 / (np.sqrt(m2 * np.float32(1 / (1 - 0.99**self.steps))) + np.float32(1e-6))
 
-    @staticmethod
-    def views(flat: np.ndarray) -> list[np.ndarray]:
-        k, v, d = 2 * RADIUS, TOKENS, WIDTH
-        cut = np.cumsum([0, k * (v + 1) * d, d, d * v, v])
-        a, b, c, e = (flat[i:j] for i, j in zip(cut, cut[1:]))
-        return [a.reshape(k, v + 1, d), b, c.reshape(d, v), e]
 
+def _learn(vocabulary: Vocabulary, start: np.ndarray):
+    """Rows (copy, chunk, weights, tokens) of the copy that a task has trained."""
 
-def _learn(token_of: np.ndarray, start: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, seen = Window(start), 0
+        net, seen, wait = Window(start), 0, []
+
+        def learn(least: int) -> None:
+            nonlocal wait
+            while wait and (n := sum(len(t) for _, t in wait)) >= least and n:
+                context, token = np.concatenate([c for c, _ in wait], axis=1), np.concatenate([t for _, t in wait])
+                for at in range(0, len(token) - least + 1 if least > 1 else len(token), STEP):
+                    net.train(context[:, at : at + STEP], token[at : at + STEP])
+                rest = len(token) // STEP * STEP if least > 1 else len(token)
+                wait = [(context[:, rest:], token[rest:])] if rest < len(token) else []
+
         for batch in _text.slices(batches):
-            bucket, text, _ = _buckets(batch.column(0))
-            token = token_of[bucket]
-            context = contexts(token, text)
-            for at in range(0, len(token), STEP):
-                net.train(context[:, at : at + STEP], token[at : at + STEP])
+            word, shape, text, _ = _hashes(batch.column(0))
+            token = vocabulary.tokens(word, shape)
+            wait.append((contexts(token, text), token))
             seen += len(token)
+            learn(STEP)
+        learn(1)
         if seen:
-            n = len(net.weights)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(n), pa.int32()), pa.array(net.weights.astype(float) * seen), pa.array(np.full(n, float(seen)))], ["place", "weighted", "tokens"])
+            flat = net.weights
+            parts = [flat[i : i + CHUNK].tobytes() for i in range(0, len(flat), CHUNK)]
+            n, copy = len(parts), TaskContext.get().partitionId()
+            yield pa.RecordBatch.from_arrays([pa.array([copy] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(parts, pa.binary()), pa.array([float(seen)] * n)], ["copy", "chunk", "weights", "tokens"])
 
     return run
 
 
-def _score(token_of: np.ndarray, weights: np.ndarray, class_log: np.ndarray, known: np.ndarray, known_log: np.ndarray):
-    """Sums without the joined words' log counts; these words are listed."""
+_COPIES = "copy long, chunk int, weights binary, tokens double"
+
+
+def _mean(table: pa.Table) -> pa.Table:
+    """One row for the copies of one group and chunk: their mean by tokens."""
+    tokens = table.column("tokens").to_numpy()
+    rows = np.stack([np.frombuffer(w, np.float32) for w in table.column("weights").to_pylist()]).astype(np.float64)
+    mean = (rows * (tokens / tokens.sum())[:, None]).sum(axis=0).astype(np.float32)
+    return pa.table({"copy": table.column("copy").slice(0, 1), "chunk": table.column("chunk").slice(0, 1), "weights": pa.array([mean.tobytes()], pa.binary()), "tokens": pa.array([float(tokens.sum())])})
+
+
+def averaged(copies: DataFrame, scratch: Scratch, name: str) -> np.ndarray | None:
+    """The mean of all copies (copy, chunk, weights, tokens), GROUP of them at a time."""
+    level = 0
+    while True:
+        copies = scratch.write(copies, f"{name}-{level}")
+        most = copies.agg(F.max("copy")).first()[0]
+        if most is None:
+            return None
+        if level and most == 0:
+            break
+        copies = copies.withColumn("copy", F.expr(f"copy div {GROUP}")).groupBy("copy", "chunk").applyInArrow(_mean, _COPIES)
+        level += 1
+    rows = copies.orderBy("chunk").select("weights").toArrow()  # one copy of the network
+    return np.concatenate([np.frombuffer(w, np.float32) for w in rows.column(0).to_pylist()])
+
+
+def count_words(docs: DataFrame, scratch: Scratch, text_col: str = "text") -> DataFrame:
+    """(word, shape, n): every distinct word's hash, shape and number of occurrences, over all texts."""
+    counted = docs.select(F.col(text_col).alias("text")).mapInArrow(_words, "word long, shape int, n long")
+    return scratch.write(counted.groupBy("word").agg(F.first("shape").alias("shape"), F.sum("n").alias("n")), "words")
+
+
+def vocabulary(words: DataFrame) -> Vocabulary:
+    """The commonest words (ties: the smaller hash), their counts, and the others' counts by shape."""
+    top = words.orderBy(F.desc("n"), "word").limit(VOCABULARY).toArrow()
+    own, n, shape = (top.column(c).to_numpy() for c in ("word", "n", "shape"))
+    total = np.zeros(SHAPES)
+    for r in words.groupBy("shape").agg(F.sum("n").alias("n")).collect():  # SHAPES rows at most
+        total[r.shape] = r.n
+    return Vocabulary(own, n, total - np.bincount(shape, n, minlength=SHAPES))
+
+
+def train(docs: DataFrame, vocab: Vocabulary, scratch: Scratch, text_col: str = "text", rounds: int = 1) -> np.ndarray:
+    """The averaged network's weights, from every document in each round."""
+    texts = docs.select(F.col(text_col).alias("text"))
+    weights = Window(vocabulary=vocab).weights
+    for i in range(rounds):
+        found = averaged(texts.mapInArrow(_learn(vocab, weights), _COPIES), scratch, f"copies-{i}")
+        weights = weights if found is None else found
+    return weights
+
+
+def _score(vocab: Vocabulary, weights: np.ndarray, known: np.ndarray, known_log: np.ndarray):
+    """Sums without the log counts of words that are not ``known``; these words are listed."""
+    mass = np.log(np.maximum(vocab.shape_counts, 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = Window(weights)
         for batch in _text.slices(batches, 1):
-            hashes, text, n = _hashes(batch.column(1))
-            token = token_of[(hashes >> np.uint64(48)).astype(np.int64)]
+            word, shape, text, n = _hashes(batch.column(1))
+            token = vocab.tokens(word, shape)
             context = contexts(token, text)
-            word = hashes.view(np.int64)
-            place = np.minimum(np.searchsorted(known, word), max(0, len(known) - 1))
-            held = known[place] == word if len(known) else np.zeros(len(word), bool)
-            within = np.zeros(n) + np.bincount(text[held], known_log[place[held]], minlength=n) - np.bincount(text, class_log[token], minlength=n)
             total = np.zeros(n)
             for at in range(0, len(token), STEP):
                 total += np.bincount(text[at : at + STEP], net.log_prob(context[:, at : at + STEP], token[at : at + STEP]), minlength=n)
-            offsets = np.searchsorted(text[~held], np.arange(n + 1)).astype(np.int32)
+            other = np.flatnonzero(token >= VOCABULARY)
+            word, shape, where = word[other], shape[other], text[other]
+            place = np.minimum(np.searchsorted(known, word), max(0, len(known) - 1))
+            held = known[place] == word if len(known) else np.zeros(len(word), bool)
+            total += np.bincount(where[held], known_log[place[held]], minlength=n) - np.bincount(where, mass[shape], minlength=n)
+            offsets = np.searchsorted(where[~held], np.arange(n + 1)).astype(np.int32)
             rare = pa.ListArray.from_arrays(pa.array(offsets), pa.array(word[~held]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.bincount(text, minlength=n)), pa.array(total), pa.array(within), batch.column(2), rare], ["doc_id", "n_tokens", "log_likelihood", "within", "rid", "rare"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.bincount(text, minlength=n)), pa.array(total), batch.column(2), rare], ["doc_id", "n_tokens", "sum", "rid", "rare"])
 
     return run
 
 
-def train(docs: DataFrame, text_col: str = "text", rounds: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """(token of each bucket, the averaged network's weights), from every document in each round."""
-    texts = docs.select(F.col(text_col).alias("text"))
-    counts = np.zeros(BUCKETS, np.int64)
-    for r in texts.mapInArrow(_count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
-        counts[r.bucket] = r.n
-    token_of = vocabulary(counts)
-    net = Window()
-    share = np.bincount(token_of, counts, minlength=TOKENS) + 1
-    net.prior[:] = np.log(share / share.sum())
-    weights = net.weights
-    for _ in range(rounds):
-        sums = texts.mapInArrow(_learn(token_of, weights), "place int, weighted double, tokens double").groupBy("place").agg((F.sum("weighted") / F.sum("tokens")).alias("mean")).collect()
-        if sums:
-            weights = np.zeros_like(weights)
-            for r in sums:
-                weights[r.place] = r.mean
-    return token_of, weights
-
-
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 1) -> DataFrame:
-    """doc_id, n_tokens, log_likelihood (sum over all tokens, of their classes), word_log_likelihood (of the words themselves), and their means
-    mean_log_prob and mean_word_log_prob, of every row.
-
-    Null texts count as empty; texts without words have likelihood 0 and a null mean. Repeated rows repeat; an empty table gives an
-    empty result; other columns are ignored.
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 1, like: DataFrame | None = None) -> DataFrame:
+    """doc_id, n_tokens, log_likelihood (the sum of its words' conditional log-probabilities) and mean_log_prob of every row.
+
+    The network and the counts come from ``like`` (default: the documents themselves); a word that ``like`` lacks counts as one that it has once.
+    Null texts count as empty; texts without words have likelihood 0 and a null mean. Very long texts are read whole, one at a time. Repeated rows
+    repeat; ties in word counts go to the smaller hash; an empty table gives an empty result; other columns are ignored. The scores hang on how the
+    table is cut into partitions as far as the averaged copies do.
     """
-    ship(docs.sparkSession)
-    token_of, weights = train(docs, text_col, rounds)
     scratch = Scratch(docs.sparkSession, "lm-score")
-    words = scratch.write(docs.select(F.col(text_col).alias("text")).mapInArrow(_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
-    class_log = np.zeros(TOKENS)
-    bucket = F.shiftrightunsigned("word", 48).cast("int").alias("bucket")
-    for r in words.groupBy(bucket).agg(F.sum("n").alias("n")).collect():
-        class_log[token_of[r.bucket]] += r.n
-    class_log = np.log(np.maximum(class_log, 1))
+    base = docs if like is None else like
+    words = count_words(base, scratch, text_col)
+    vocab = vocabulary(words)
+    weights = train(base, vocab, scratch, text_col, rounds)
     least, held = None, 0
     for r in sorted(words.groupBy("n").count().collect(), key=lambda r: -r.n):
         held += r["count"]
         if held > SHIPPED:
             break
         least = r.n
-    most = words.where(F.col("n") >= least).toArrow() if least else pa.table({"word": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
+    most = words.where(F.col("n") >= least).select("word", "n").toArrow() if least else pa.table({"word": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
     known, counts = most.column("word").to_numpy(), most.column("n").to_numpy()
     order = np.argsort(known)
     known, known_log = known[order], np.log(counts[order].astype(float))
     numbered = docs.select(F.col(id_col), F.col(text_col), F.monotonically_increasing_id().alias("rid"))
-    scored = numbered.mapInArrow(_score(token_of, weights, class_log, known, known_log), f"doc_id {dict(docs.dtypes)[id_col]}, n_tokens long, log_likelihood double, within double, rid long, rare array<long>")
+    scored = numbered.mapInArrow(_score(vocab, weights, known, known_log), f"doc_id {dict(docs.dtypes)[id_col]}, n_tokens long, sum double, rid long, rare array<long>")
     scored = scratch.write(scored, "scored")
     rare = scored.select("rid", F.explode("rare").alias("word")).join(words, "word").groupBy("rid").agg(F.sum(F.log("n")).alias("more"))
-    scored = scored.join(rare, "rid", "left")
-    scored = scored.select("doc_id", "n_tokens", "log_likelihood", (F.col("log_likelihood") + F.col("within") + F.coalesce("more", F.lit(0.0))).alias("word_log_likelihood"))
-    mean = lambda c: F.when(F.col("n_tokens") > 0, F.col(c) / F.col("n_tokens"))
-    return scored.withColumn("mean_log_prob", mean("log_likelihood")).withColumn("mean_word_log_prob", mean("word_log_likelihood"))
+    scored = scored.join(rare, "rid", "left").select("doc_id", "n_tokens", (F.col("sum") + F.coalesce("more", F.lit(0.0))).alias("log_likelihood"))
+    return scored.withColumn("mean_log_prob", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")))
 
 
 def op7_masked_pseudo_likelihood(spark, sf_dir: str) -> DataFrame:
