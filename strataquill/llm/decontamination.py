@@ -2,11 +2,13 @@
 
 A seed is a fixed mask over consecutive words; words at its open places don't count. Every place of every document and of every
 benchmark item is hashed under each mask, and equal hashes are joined, so a passage with replaced words still
-meets its item wherever a mask skips the replacements. Each hit fixes an alignment of item and document; the words
-along it are compared, and the best stretch (a match counts 1, a mismatch -2) decides.
+meets its item wherever a mask skips the replacements. Items that are shorter than the masks are met by masks that skip one word of
+theirs. Each hit fixes an alignment of item and document. Hits are reduced to distinct alignments, which are written; only then are the words of
+documents with hits read again and compared along them: the best stretch (a match counts 1, a mismatch -2) decides.
 
-Documents are hashed where they are read and never shuffled: the benchmark's hashes are sent to them while they
-are few, which is checked; beyond that the join is left to the planner.
+Documents are hashed where they are read: the benchmark's hashes are sent to them while they are few, which is checked. Beyond that a
+bitmap of bounded size takes out most hashes that no item has, and only (row, place, hash) of the others is shuffled; texts never are, but for those
+with hits, and then only if the hits are too many to be sent.
 """
 
 from __future__ import annotations
@@ -14,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strataquill.llm._store import Scratch
+
 #: Masks by their closed places.
 MASKS = ((0, 1, 2, 4, 5, 7, 10), (0, 1, 4, 6, 7, 8, 10), (0, 2, 3, 5, 6, 8, 9))
 #: Items of fewer words can't be told from chance and are never matched.
@@ -22,6 +26,8 @@ LEAST_WORDS = 5
 SCORE = 12
 #: Hashes of the benchmark that are sent to every task (24 bytes each).
 SENT_HASHES = 2_000_000
+#: Alignments that are sent to every task, and bits of the bitmap beyond SENT_HASHES (a million rows of 64).
+SENT_HITS, BITS = 500_000, 1 << 26
 
 
 def words(text: Column) -> Column:
@@ -29,12 +35,21 @@ def words(text: Column) -> Column:
     return F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+")
 
 
-def _hashes(df: DataFrame, masks: dict[int, tuple[int, ...]], place: str) -> DataFrame:
-    """Columns of ``df`` (with an array ``words``), ``place`` and ``seed``: each mask's hash at each place where it fits."""
-    at = F.col(place)
-    seeds = [F.when(at + (m[-1] + 1) <= F.size("words"), F.xxhash64(F.lit(i), *[F.get("words", at + o) for o in m])) for i, m in masks.items()]
+def _masks(short: list[int]) -> list[tuple[int, tuple[int, ...]]]:
+    """(words of an item that the mask is for, or 0 for all that it fits; open places). A short item has a mask for each word that it skips."""
+    return [(0, m) for m in MASKS] + [(n, tuple(i for i in range(n) if i != skip)) for n in short for skip in range(n)]
+
+
+def _hashes(df: DataFrame, masks: list[tuple[int, tuple[int, ...]]], place: str, items: bool) -> DataFrame:
+    """Columns of ``df`` (with an array ``words``) but the words, ``place`` and ``seed``: each mask's hash at each place where it fits.
+
+    A mask for items of some length is hashed once at most in an item, at its start.
+    """
+    at, n = F.col(place), F.size("words")
+    fits = lambda k, m: (at + (m[-1] + 1) <= n) if not (items and k) else (at == 0) & (n == k)
+    seeds = [F.when(fits(k, m), F.xxhash64(F.lit(i), *[F.get("words", at + o) for o in m])) for i, (k, m) in enumerate(masks)]
     placed = df.select("*", F.posexplode("words").alias(place, "sq_word")).drop("sq_word")
-    return placed.select("*", F.explode(F.array(*seeds)).alias("seed")).where("seed is not null")
+    return placed.select(*[c for c in df.columns if c != "words"], place, F.explode(F.array(*seeds)).alias("seed")).where("seed is not null")
 
 
 def _score(words_: Column, item: Column, start: Column) -> Column:
@@ -54,21 +69,29 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
 
     One row for each document and item with a stretch of ``score`` (or half the item's words, if less): the best, the
     first of equals. Null and empty texts match nothing; rows with one id count as one document, null
-    ids likewise; items of one id likewise; other columns are ignored. Items shorter than the masks are sought as
-    whole sequences of words; those under LEAST_WORDS are left out. An empty table on either side gives an empty result.
+    ids likewise; items of one id likewise; other columns are ignored. Very long texts are read whole, and a passage is scored once for each
+    alignment, however many seeds hit. Items shorter than the masks are sought with one word skipped; those under LEAST_WORDS are left
+    out, as they can't be told from chance. An empty table on either side gives an empty result.
     """
+    scratch = Scratch(docs.sparkSession, "decontamination")
     items = benchmark.select(F.col(item_col).alias("item_id"), F.array_remove(words(F.col(item_text_col)), "").alias("words")).where(F.size("words") >= LEAST_WORDS)
     widest = max(m[-1] for m in MASKS) + 1
-    masks = dict(enumerate(MASKS))
-    short = [r.n for r in items.where(F.size("words") < widest).select(F.size("words").alias("n")).distinct().collect()]
-    masks |= {100 + n: tuple(range(n)) for n in sorted(short)}
-    seeds = _hashes(items, masks, "item_at").select("seed", "item_id", "item_at", F.col("words").alias("item"))
-    table = seeds.select("seed", "item_id", "item_at").distinct()
+    masks = _masks(sorted(r.n for r in items.where(F.size("words") < widest).select(F.size("words").alias("n")).distinct().collect()))  # some numbers below 11
+    table = scratch.write(_hashes(items, masks, "item_at", True).distinct(), "seeds")
     few = table.count() <= SENT_HASHES
     texts = items.select("item_id", F.col("words").alias("item")).distinct()
-    hashed = _hashes(docs.select(F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("words")), masks, "at")
-    hits = hashed.join(F.broadcast(table) if few else table, "seed").select("doc_id", "words", (F.col("at") - F.col("item_at")).alias("start"), "item_id")
-    aligned = hits.join(F.broadcast(texts) if few else texts, "item_id").withColumn("found", _score(F.col("words"), F.col("item"), F.col("start")))
+    # Rows are told apart by id and text, so that a second reading of the table finds them again.
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
+    hashed = _hashes(rows.select("doc_id", "key", words(F.col("text")).alias("words")), masks, "at", False)
+    if not few:
+        word, bit = F.expr(f"shiftright(pmod(seed, {BITS}), 6)").alias("w"), F.expr("shiftleft(1L, cast(pmod(seed, 64) as int))")
+        held = table.select(word, bit.alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+        hashed = hashed.select("*", word).join(F.broadcast(held), "w").where(F.col("b").bitwiseAND(bit) != 0).select("doc_id", "key", "at", "seed")
+    hits = hashed.join(F.broadcast(table) if few else table, "seed").select("doc_id", "key", "item_id", (F.col("at") - F.col("item_at")).alias("start")).distinct()
+    hits = scratch.write(hits, "hits").select(F.col("doc_id").alias("hit_id"), F.col("key").alias("hit_key"), "item_id", "start")
+    sent = hits.count() <= SENT_HITS
+    again = rows.join(F.broadcast(hits) if sent else hits, (F.col("key") == F.col("hit_key")) & F.col("doc_id").eqNullSafe(F.col("hit_id"))).select("doc_id", words(F.col("text")).alias("words"), "item_id", "start")
+    aligned = again.join(F.broadcast(texts) if few else texts, "item_id").withColumn("found", _score(F.col("words"), F.col("item"), F.col("start")))
     enough = F.least(F.lit(score), F.ceil(F.size("item") / 2))
     leaks = aligned.where(F.col("found.best") >= enough).select("doc_id", "item_id", F.struct(F.col("found.best").alias("score"), (-F.col("start")).alias("late"), F.col("found.same").alias("matches"), F.size("item").alias("item_words")).alias("x"))
     best = leaks.groupBy("doc_id", "item_id").agg(F.max("x").alias("x"))
