@@ -63,13 +63,14 @@ BLOCK = 1 << 20
 HELD: list[Callable[[], None]] = []
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: int = 0, most_bytes: int = BLOCK, most_rows: int = 512) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: int = 0, most_bytes: int = BLOCK, most_rows: int = 512, own: Callable[[], None] | None = None) -> Iterator[pa.RecordBatch]:
     """Parts of Arrow batches with a bounded number of rows and, but for single long texts, of text bytes in ``column``.
 
-    Caches of other operators in this process are dropped first.
+    Caches of other operators in this process are dropped first; ``own`` is the function that drops the caller's, which stay.
     """
     for drop in HELD:
-        drop()
+        if drop != own:
+            drop()
     for whole in batches:
         sizes = pc.binary_length(whole.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
         ends = np.cumsum(sizes)

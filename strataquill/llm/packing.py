@@ -141,27 +141,25 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = word_encoder(tokenizer_path)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                took, nos, starts, lengths, sums, ids = [], [], [], [], [], []
-                for row, blob in enumerate(encode(batch.column(1).fill_null("").to_pylist())):
-                    blob += end
-                    for no, start in enumerate(range(0, len(blob), 4 * capacity)):
-                        part = blob[start : start + 4 * capacity]
-                        took.append(row)
-                        nos.append(no)
-                        starts.append(start // 4)
-                        lengths.append(len(part) // 4)
-                        sums.append(zlib.crc32(part))
-                        if with_ids:
-                            ids.append(part)
-                columns = [batch.column(0).take(pa.array(took, pa.int64())), pa.array(nos, pa.int32()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(sums, pa.int64())]
-                names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-                if with_ids:
-                    columns.append(pa.array(ids, pa.binary()))
-                    names.append("ids")
-                yield pa.RecordBatch.from_arrays(columns, names)
+        for batch in _text.slices(batches, 1, own=_ENCODERS.clear):
+            took, nos, starts, lengths, sums, ids = [], [], [], [], [], []
+            for row, blob in enumerate(encode(batch.column(1).fill_null("").to_pylist())):
+                blob += end
+                for no, start in enumerate(range(0, len(blob), 4 * capacity)):
+                    part = blob[start : start + 4 * capacity]
+                    took.append(row)
+                    nos.append(no)
+                    starts.append(start // 4)
+                    lengths.append(len(part) // 4)
+                    sums.append(zlib.crc32(part))
+                    if with_ids:
+                        ids.append(part)
+            columns = [batch.column(0).take(pa.array(took, pa.int64())), pa.array(nos, pa.int32()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(sums, pa.int64())]
+            names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+            if with_ids:
+                columns.append(pa.array(ids, pa.binary()))
+                names.append("ids")
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(cut, schema)
 
