@@ -208,8 +208,8 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     """doc_id, n_words, posterior, score and keep of every row; with ``carry``, all columns of ``docs`` and keep.
 
     Null texts count as empty. Labellers don't vote on texts of fewer than eight words, whose label is then the share of
-    good texts, so they are kept. Rows are judged one by one: repeated rows repeat, an empty table gives an empty
-    result. With ``carry`` the columns come in a struct ``row``, so that no name clashes.
+    good texts, so they are kept. Rows are judged one by one: repeated rows repeat, very long texts are read whole, a score of exactly the threshold
+    keeps its row, an empty table gives an empty result. With ``carry`` the columns come in a struct ``row``, so that no name clashes.
     """
     ship(docs.sparkSession)
     model = train(docs, text_col)

@@ -9,7 +9,6 @@ SQL expression of nested conditions.
 
 from __future__ import annotations
 
-import functools
 import random
 import string
 import uuid
@@ -21,7 +20,7 @@ from pyspark.sql import functions as F
 
 #: Shortest run of characters that can be a secret.
 LEAST = 16
-RUN = r"[A-Za-z0-9_+/=\-]{16,}"
+KEY_CHARACTERS = r"[A-Za-z0-9_+/=\-]"
 TREES, LEVELS, FINDINGS = 15, 5, 3000
 DICTIONARY = "example|sample|test|dummy|secret|password|passwd|token|access|private|public|config|default|server|client|service|user|admin|value|name|index|module|version|release|build|master|main|commit|branch|image|file|path|http|https|www|com|org|data|base|local|host|request|response|handler|manager|factory|controller|your|change|here|xxxx|0000|1234|abcd"
 #: Letter pairs that are common in words.
@@ -30,17 +29,18 @@ ASKS = r"key|token|secret|passw|pwd|auth|credential|bearer|api|private"
 DENIES = r"commit|sha|md5|checksum|digest|hash|uuid|guid|etag|revision|id|example|sample|test|tracking|order|version|card|account"
 
 
-def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source") -> DataFrame:
+def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", least: int = LEAST, plain: bool = False) -> DataFrame:
     """doc_id, word (its number), finding, before (two words), after (one word), path of every candidate run."""
+    run = rf"{KEY_CHARACTERS}{{{least},}}"
     path = F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col else F.lit("")
     split = docs.select(F.col(id_col).alias("doc_id"), path.alias("path"), F.split(F.coalesce(F.col(text_col), F.lit("")), r"[\x20\x09-\x0D]+").alias("words"))
-    each = split.select("doc_id", "path", "words", F.posexplode("words").alias("word", "w")).where((F.length("w") >= LEAST) & F.col("w").rlike(RUN))
+    each = split.select("doc_id", "path", "words", F.posexplode("words").alias("word", "w")).where((F.length("w") >= least) & F.col("w").rlike(run))
     near = F.concat_ws(" ", F.get("words", F.col("word") - 2), F.get("words", F.col("word") - 1))
     # What stands before the run in its own word (as in key="...") belongs to the words before it.
-    found = each.select("doc_id", "path", "word", "w", near.alias("near"), F.coalesce(F.get("words", F.col("word") + 1), F.lit("")).alias("after"), F.explode(F.regexp_extract_all("w", F.lit(f"({RUN})"), F.lit(1))).alias("finding"))
+    found = each.select("doc_id", "path", "word", "w", near.alias("near"), F.coalesce(F.get("words", F.col("word") + 1), F.lit("")).alias("after"), F.explode(F.regexp_extract_all("w", F.lit(f"({run})"), F.lit(1))).alias("finding"))
     own = F.expr("substring_index(w, finding, 1)")
     mixed = F.col("finding").rlike("[0-9]") | (F.col("finding").rlike("[a-z]") & F.col("finding").rlike("[A-Z]{2}"))
-    return found.where(mixed).select("doc_id", "word", "finding", F.concat_ws(" ", "near", own).alias("before"), "after", "path")
+    return (found if plain else found.where(mixed)).select("doc_id", "word", "finding", F.concat_ws(" ", "near", own).alias("before"), "after", "path")
 
 
 def features() -> list[tuple[str, Column]]:
@@ -159,9 +159,18 @@ def forest_column(forest: list, names: list[str]) -> Column:
     return F.expr("(" + " + ".join(sql(t) for t in forest) + f") / {len(forest)}D")
 
 
-@functools.lru_cache(maxsize=4)
-def _forest(findings: tuple, session: str) -> list:
-    spark = SparkSession.getActiveSession()
+_GROWN: dict[tuple, list] = {}
+
+
+def _forest(spark: SparkSession, findings: tuple) -> list:
+    """The forest of labelled findings, grown once in a process; its features are computed by the session's expressions."""
+    if findings not in _GROWN:
+        _GROWN.clear()
+        _GROWN[findings] = _grown(spark, findings)
+    return _GROWN[findings]
+
+
+def _grown(spark: SparkSession, findings: tuple) -> list:
     named = features()
     rows = spark.createDataFrame(list(findings), "finding string, before string, after string, path string, label int")
     got = rows.select(*[e.alias(n) for n, e in named], "label").collect()
@@ -169,17 +178,20 @@ def _forest(findings: tuple, session: str) -> list:
     return grow(table[:, :-1], table[:, -1])
 
 
-def scan(docs: DataFrame, findings: list[tuple[str, str, str, str, int]] | None = None, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", threshold: float = 0.5) -> DataFrame:
+def scan(docs: DataFrame, findings: list[tuple[str, str, str, str, int]] | None = None, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", threshold: float = 0.5, least: int = LEAST, plain: bool = False) -> DataFrame:
     """doc_id, word, finding, finding_sha256, length, score, is_secret: one row for each candidate of each row of ``docs``.
 
+    Candidates are runs of at least ``least`` key characters; runs of letters alone without two capitals in a row beside small ones, as words are, only
+    with ``plain``. Shorter runs and values with other characters in them are not looked at. A score of exactly the threshold is a secret.
+
     ``findings`` are labelled training rows, labelled_findings() if none are given. Null texts hold no candidate, a null path counts as
     empty, a run is judged whole however long; repeated rows repeat their candidates; an empty table gives an empty result; other columns are
     ignored.
     """
     spark = docs.sparkSession
-    forest = _forest(tuple(findings if findings is not None else labelled_findings()), spark.sparkContext.applicationId)
+    forest = _forest(spark, tuple(findings if findings is not None else labelled_findings()))
     named = features()
-    described = candidates(docs, id_col, text_col, path_col).select("doc_id", "word", "finding", *[e.alias(f"f_{n}") for n, e in named])
+    described = candidates(docs, id_col, text_col, path_col, least, plain).select("doc_id", "word", "finding", *[e.alias(f"f_{n}") for n, e in named])
     score = forest_column(forest, [f"f_{n}" for n, _ in named])
     return described.select("doc_id", "word", "finding", F.sha2("finding", 256).alias("finding_sha256"), F.length("finding").alias("length"), score.alias("score")).withColumn("is_secret", F.col("score") >= threshold)
 

@@ -100,10 +100,9 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> ToxicityModel:
     """
     rows = labelled.select(F.coalesce("text", F.lit("")).alias("text"), F.col("label").cast("int").alias("label"))
     sizes = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    found = rows.mapInArrow(_count, "gram int, clean double, toxic double").groupBy("gram").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).collect()
+    found = rows.mapInArrow(_count, "gram int, clean double, toxic double").groupBy("gram").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toArrow()  # 2**BITS rows at most
     counts = np.zeros((2, 1 << BITS))
-    for r in found:
-        counts[:, r.gram] = r.clean, r.toxic
+    counts[:, found.column("gram").to_numpy()] = found.column("clean").to_numpy(), found.column("toxic").to_numpy()
     share = (counts.sum(axis=1) + 1) / (counts.sum() + 2)
     ratio = np.log((counts[1] + SMOOTH * share[1]) / (counts[0] + SMOOTH * share[0])) - np.log(share[1] / share[0])
     ratio[np.abs(ratio) < LEAST] = 0
@@ -134,7 +133,7 @@ def score_toxicity(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id",
 
     Null texts count as empty and, like texts of white space, get the score of a text without features. Without labelled rows
     every score is one half; with one class only, near that class. Rows are scored one by one: repeated rows
-    repeat, an empty table gives an empty result, other columns are ignored.
+    repeat, very long texts are read whole, a score of exactly one half counts as toxic, an empty table gives an empty result, other columns are ignored.
     """
     ship(docs.sparkSession)
     model = train(labelled)

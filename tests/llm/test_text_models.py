@@ -1,5 +1,7 @@
 """Decontamination, formatting, scoring, quality, secrets, toxicity."""
 
+import collections
+import os
 import random
 import re
 
@@ -8,6 +10,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from strataquill.llm import chat_format as C
 from strataquill.llm import decontamination as D
@@ -63,6 +66,51 @@ def test_overlaps_against_every_alignment(spark, make):
     assert got == want
 
 
+def test_large_benchmarks_give_the_same_rows(spark, make, monkeypatch):
+    """Beyond the number of hashes that are sent, a bitmap and a join of hashes alone take their place."""
+    rng = random.Random(9)
+    bench = [[f"b{rng.randint(0, 400)}" for _ in range(rng.randint(5, 40))] for _ in range(25)]
+    docs = [[f"d{rng.randint(0, 99)}" for _ in range(rng.randint(0, 80))] + (rng.choice(bench) if i % 3 else []) + [f"d{rng.randint(0, 99)}" for _ in range(20)] for i in range(90)]
+    table, other = make([(i, " ".join(d)) for i, d in enumerate(docs)]), items(spark, *[" ".join(b) for b in bench])
+    want = sorted(map(tuple, D.overlaps(table, other).collect()))
+    monkeypatch.setattr(D, "SENT_HASHES", 0)
+    monkeypatch.setattr(D, "SENT_HITS", 0)
+    plans = []
+    keep = D.Scratch.write
+    monkeypatch.setattr(D.Scratch, "write", lambda self, df, name, *a: plans.append(df._jdf.queryExecution().toString()) or keep(self, df, name, *a))
+    assert len(want) > 30 and sorted(map(tuple, D.overlaps(table, other).collect())) == want
+    import re as _re
+
+    moved = [x for p in plans for x in _re.findall(r"Exchange hashpartitioning\(([^)]*)\)", p)]
+    assert moved and not any("words" in x or "text" in x for x in moved)
+
+
+def test_recall_against_all_alignments(spark, make):
+    """Items with a share of words replaced, by all alignments without any mask; what the masks miss is counted."""
+    rng = random.Random(10)
+    bench = [[f"b{rng.randint(0, 3000)}" for _ in range(n)] for n in (5, 7, 9, 10, 11, 14, 20, 30, 45, 60) for _ in range(3)]
+    docs = []
+    for i in range(240):
+        item = list(rng.choice(bench))
+        for _ in range(rng.randint(0, max(1, len(item) // 8))):
+            item[rng.randrange(len(item))] = f"x{rng.randint(0, 10**6)}"
+        docs.append([f"d{rng.randint(0, 9)}" for _ in range(rng.randint(0, 15))] + item + ["end"])
+
+    def best(d, b):
+        top = 0
+        for start in range(-len(b) + 1, len(d)):
+            now = 0
+            for j, w in enumerate(b):
+                now = max(0, now + (1 if 0 <= start + j < len(d) and d[start + j] == w else -2))
+                top = max(top, now)
+        return top
+
+    want = {(i, k) for i, d in enumerate(docs) for k, b in enumerate(bench) if best(d, b) >= min(D.SCORE, -(-len(b) // 2))}
+    got = {(r.doc_id, r.item_id) for r in D.overlaps(make([(i, " ".join(d)) for i, d in enumerate(docs)]), items(spark, *[" ".join(b) for b in bench])).collect()}
+    print("recall", len(got & want) / len(want), "of", len(want))
+    assert got <= want and len(got & want) >= 0.97 * len(want)
+
+
 def test_overlaps_on_edges(spark, edges, nothing):
     b = items(spark, "same text here for all of us today", None, "")
     assert {r.doc_id for r in D.overlaps(edges, b).collect()} == {4, 5}
@@ -128,55 +176,129 @@ def test_conversations_on_edges(spark):
 # Language model ----------------------------------------------------------------------------------------------
 
 
-def test_gradients():
+def plain_log_prob(net, token, text, place):
+    """log P of one place's token (its class only, for other words than the vocabulary's), by loops over the layers."""
+    hidden = [float(x) for x in net.bias]
+    for k, o in enumerate(o for o in range(-L.RADIUS, L.RADIUS + 1) if o):
+        at = place + o
+        t = token[at] if 0 <= at < len(token) and text[at] == text[place] else L.PAD
+        hidden = [h + float(e) * float(g) for h, e, g in zip(hidden, net.embed[t], net.gate[k])]
+    hidden = [np.tanh(h) for h in hidden]
+
+    def chosen(out, bias, which):
+        z = [float(bias[j]) + sum(h * float(out[i][j]) for i, h in enumerate(hidden)) for j in range(len(bias))]
+        return z[which] - np.log(sum(np.exp(x) for x in z))
+
+    t = int(token[place])
+    if t >= L.VOCABULARY:
+        return chosen(net.out, net.prior, L.TOP + t - L.VOCABULARY)
+    c = t // L.WITHIN
+    return chosen(net.out, net.prior, c) + chosen(net.word[c], net.share[c], t % L.WITHIN)
+
+
+def some_tokens(rng, n):
+    own = rng.integers(0, L.VOCABULARY, n)
+    return np.where(rng.random(n) < 0.3, L.VOCABULARY + rng.integers(0, L.SHAPES, n), own % 300 + L.WITHIN * (own % 3)).astype(np.int16)
+
+
+def test_network_against_loops_and_differences():
     rng = np.random.default_rng(1)
-    net = L.Window(rng.normal(0, 0.3, len(L.Window().weights)))
-    token = rng.integers(0, L.TOKENS, 50).astype(np.int16)
-    context = L.contexts(token, np.repeat([0, 1], 25))
-    assert (context[:, 0] == L.TOKENS).sum() == 2 and (context[:, 24] == L.TOKENS).sum() == 2 and context[0, 2] == token[0]
-    before = net.log_prob(context, token).mean()
+    net = L.Window(rng.normal(0, 0.3, L.Window.SIZE))
+    token, text = some_tokens(rng, 60), np.repeat([0, 1], 30)
+    context = L.contexts(token, text)
+    assert (context[:, 0] == L.PAD).sum() == L.RADIUS and (context[:, 29] == L.PAD).sum() == L.RADIUS
+    got = net.log_prob(context, token)
+    for place in (0, 1, 29, 30, 45, 59):
+        assert abs(got[place] - plain_log_prob(net, token, text, place)) < 1e-4
+    p = sum(np.exp(net.log_prob(context[:, :1], np.array([t], np.int16))[0]) for t in range(L.PAD))
+    assert abs(p - 1) < 1e-3  # over all words: other words' shares of their class sum to 1 too
+    start = net.weights.copy()
+    net.train(context, token)
+    step = np.sign(start - net.weights)  # the first Adam step goes by the gradient's sign
+    for i in np.argsort(-np.abs(net.moments[0]))[:40]:
+        up, down = start.copy(), start.copy()
+        up[i] += 0.01
+        down[i] -= 0.01
+        slope = L.Window(down).log_prob(context, token).mean() - L.Window(up).log_prob(context, token).mean()
+        assert abs(slope / 0.02 - net.moments[0][i] * 10) < 0.05 * abs(slope / 0.02) + 1e-4 and np.sign(slope) == step[i]
     for _ in range(30):
         net.train(context, token)
-    assert net.log_prob(context, token).mean() > before + 0.5
-    h, z = net.forward(context)
-    p = np.exp(z) / np.exp(z).sum(axis=1, keepdims=True)
-    assert np.allclose(np.log(p[np.arange(50), token]), net.log_prob(context, token), atol=1e-4)
-
-
-def test_scores(spark, data, edges, nothing):
-    docs = spark.read.parquet(f"{data}/documents.parquet").repartition(3)
-    rows = L.score_documents(docs).collect()
-    text = " ".join(r.text or "" for r in docs.collect())
-    total = sum(r.n_tokens for r in rows)
-    assert total == len(re.findall(r"[^ \t-\r]+", text))
-    token_of, weights = L.train(docs)
-    bucket, where, n = L._buckets(__import__("pyarrow").array([r.text for r in docs.collect()]))
-    token = token_of[bucket]
-    share = np.bincount(token) / len(token)
-    assert sum(r.log_likelihood for r in rows) / total > np.log(share[token]).mean()
-    assert abs(L.Window(weights).log_prob(L.contexts(token, where), token).sum() - sum(r.log_likelihood for r in rows)) < 1e-2 * total
+    assert net.log_prob(context, token).mean() > got.mean() + 0.5
+
+
+def trained(docs):
+    from strataquill.llm._store import Scratch
+
+    scratch = Scratch(docs.sparkSession, "test-lm")
+    vocab = L.vocabulary(L.count_words(docs, scratch))
+    return vocab, L.Window(L.train(docs, vocab, scratch))
+
+
+def test_scores_on_edges(edges, nothing):
     got = {r.doc_id: r for r in L.score_documents(edges).collect()}
     assert got[1].n_tokens == 0 and got[1].log_likelihood == 0 and got[1].mean_log_prob is None and got[9].n_tokens == 40000
     assert L.score_documents(nothing).collect() == []
 
 
 @pytest.mark.parametrize("shipped", [0, 300, 1 << 17])
-def test_scores_of_words(spark, make, monkeypatch, shipped):
-    """A common and a rare word of one class score apart, and the sums are those of brute force, whether counts are sent or joined."""
+def test_scores_against_loops(make, monkeypatch, shipped):
+    """Sums are those of plain loops, whether other words' counts are sent or joined; a common and a rare word of one class score apart."""
     monkeypatch.setattr(L, "SHIPPED", shipped)
     rng = random.Random(3)
-    rows = [(i, " ".join(f"w{int(rng.paretovariate(0.5)) % 2000}" for _ in range(60))) for i in range(80)]
-    words = [w for _, t in rows for w in t.split()]
-    token_of, weights = L.train(make(rows).coalesce(1))
-    bucket = lambda ws: L._buckets(pa.array([" ".join(ws)]))[0]
-    count = {w: words.count(w) for w in set(words)}
-    names = sorted(count)
-    token = dict(zip(names, token_of[bucket(names)].tolist()))
-    size = {c: sum(n for w, n in count.items() if token[w] == c) for c in set(token.values())}
-    got = {r.doc_id: r for r in L.score_documents(make(rows).coalesce(1)).collect()}
-    for i, t in rows:
-        want = got[i].log_likelihood + sum(np.log(count[w] / size[token[w]]) for w in t.split())
-        assert abs(got[i].word_log_likelihood - want) < 1e-6 and abs(got[i].mean_word_log_prob - want / 60) < 1e-6
+    texts = [[f"w{rng.randint(0, 30)}" if rng.random() < 0.4 else f"r{int(60_000 * rng.random() ** 2)}" for _ in range(400)] for _ in range(100)]
+    docs = make([(i, " ".join(t)) for i, t in enumerate(texts)]).coalesce(1)
+    vocab, net = trained(docs)
+    count = collections.Counter(w for t in texts for w in t)
+    assert len(count) > L.VOCABULARY + 1000
+    hashes, shape, _, _ = L._hashes(pa.array([" ".join(count)]))
+    token = dict(zip(count, vocab.tokens(hashes, shape).tolist()))
+    size = collections.Counter()
+    for w, n in count.items():
+        size[token[w]] += n
+    got = {r.doc_id: r for r in L.score_documents(docs).collect()}
+    for i in (0, 41):
+        ids = [token[w] for w in texts[i]]
+        want = sum(plain_log_prob(net, ids, [0] * 400, k) + (np.log(count[w] / size[ids[k]]) if ids[k] >= L.VOCABULARY else 0) for k, w in enumerate(texts[i]))
+        assert abs(got[i].log_likelihood - want) < 1e-3 * abs(want) and abs(got[i].mean_log_prob - want / 400) < 1e-3 * abs(want / 400)
+
+
+def bigram_log_prob(train, text):
+    """Mean log-probability under a bigram model backed off to single words, the weight of each chosen in the bigram's favour."""
+    words = [t.lower().split() for t in train]
+    one = collections.Counter(w for t in words for w in t)
+    two = collections.Counter((a, b) for t in words for a, b in zip(["<s>", *t], t))
+    before = collections.Counter(a for t in words for a in ["<s>", *t[:-1]])
+    total, best = sum(one.values()), -1e9
+    tokens = [(a, b) for t in text for w in [t.lower().split()] for a, b in zip(["<s>", *w], w)]
+    for weight in (0.05, 0.1, 0.2, 0.4, 0.6):
+        each = [weight * two[a, b] / before[a] + (1 - weight) * max(1, one[b]) / total if before[a] else max(1, one[b]) / total for a, b in tokens]
+        best = max(best, float(np.log(each).mean()))
+    return best
+
+
+def test_scores_beat_a_bigram_model(spark, data):
+    """On documents that it has seen neither themselves nor as copies, with unseen words counted as seen once by both."""
+    docs = spark.read.parquet(f"{os.path.dirname(data)}/sf0.01/documents.parquet").where("text is not null")
+    seen, unseen = docs.where("doc_id % 5 <> 0").coalesce(2), docs.where("doc_id % 5 = 0")
+    triples = lambda t: {tuple(w[i : i + 3]) for w in [t.lower().split()] for i in range(len(w) - 2)}
+    known = set().union(*[triples(r.text) for r in seen.collect()])
+    fresh = [r.doc_id for r in unseen.collect() if len(triples(r.text)) > 5 and len(triples(r.text) & known) < 0.05 * len(triples(r.text))]
+    assert len(fresh) > 30
+    unseen = unseen.where(F.col("doc_id").isin(fresh))
+    rows = L.score_documents(unseen, like=seen, rounds=2).collect()
+    mean = sum(r.log_likelihood for r in rows) / sum(r.n_tokens for r in rows)
+    bigram = bigram_log_prob([r.text for r in seen.collect()], [r.text for r in unseen.collect()])
+    print("network", mean, "bigram", bigram)
+    assert mean > bigram
+
+
+def test_scores_hang_little_on_partitions(spark, data):
+    docs = spark.read.parquet(f"{os.path.dirname(data)}/sf0.01/documents.parquet")
+    one = {r.doc_id: r.mean_log_prob for r in L.score_documents(docs.coalesce(1)).where("n_tokens > 20").collect()}
+    many = {r.doc_id: r.mean_log_prob for r in L.score_documents(docs.repartition(6)).where("n_tokens > 20").collect()}
+    off = np.array([abs(one[d] - many[d]) / abs(one[d]) for d in one])
+    print("partitions", np.percentile(off, [50, 99, 100]))
+    assert np.median(off) < 0.05 and np.corrcoef([one[d] for d in one], [many[d] for d in one])[0, 1] > 0.9
 
 
 # Quality -----------------------------------------------------------------------------------------------------
@@ -196,6 +318,25 @@ def test_expectation_maximisation_finds_the_labellers():
     assert good[(vote == 1).all(axis=1)].min() > 0.9 and Q.estimate({})[0] == {}
 
 
+def test_posteriors_against_loops():
+    """One round of expectation and maximisation by loops agrees with where the estimate has settled."""
+    rng = np.random.default_rng(4)
+    k = len(Q.LABELLERS)
+    vote = np.where(rng.random((3000, k)) < np.where(rng.random(3000) < 0.2, 0.5, 0.03)[:, None], 2, 1)
+    vote[rng.random((3000, k)) < 0.1] = 0
+    keys, n = np.unique(Q.pattern(vote), return_counts=True)
+    post, law, share = Q.estimate(dict(zip(keys.tolist(), n.tolist())), rounds=3000)
+    for key in keys[:40].tolist():
+        like = []
+        for c in range(k + 1):
+            p = share[c]
+            for j in range(k):
+                v = key // 3**j % 3
+                p *= law[c][j] if v == 2 else 1 - law[c][j] if v == 1 else 1
+            like.append(p)
+        assert abs(like[0] / sum(like) - post[key]) < 1e-3
+
+
 def test_quality_against_labels(spark, edges, nothing):
     d = "/root/testdata/sf0.01"
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
@@ -213,11 +354,31 @@ def test_quality_against_labels(spark, edges, nothing):
 
 def test_forest_on_held_out_findings(spark):
     named = X.features()
-    forest = X._forest(tuple(X.labelled_findings()), spark.sparkContext.applicationId)
+    forest = X._forest(spark, tuple(X.labelled_findings()))
     held = spark.createDataFrame(X.labelled_findings(800, seed=77), "finding string, before string, after string, path string, label int")
     rows = held.select(*[e.alias(f"f_{n}") for n, e in named], "label").select(X.forest_column(forest, [f"f_{n}" for n, _ in named]).alias("score"), "label").collect()
     assert np.mean([(r.score >= 0.5) == (r.label == 1) for r in rows]) > 0.93
 
+    def down(tree, row):  # the forest by plain recursion
+        return tree if isinstance(tree, float) else down(tree[2] if row[f"f_{named[tree[0]][0]}"] <= tree[1] else tree[3], row)
+
+    plain = held.select(*[e.alias(f"f_{n}") for n, e in named], "finding", "before").collect()
+    for r, p in zip(rows, plain):
+        assert abs(r.score - sum(down(t, p) for t in forest) / len(forest)) < 1e-9
+    for p in plain[:200]:  # features that are plain to count
+        f = p.finding
+        assert p.f_length == len(f) and abs(p.f_digits - sum(c.isdigit() for c in f) / len(f)) < 1e-9 and abs(p.f_upper - sum("A" <= c <= "Z" for c in f) / len(f)) < 1e-9
+        assert p.f_hex == float(all(c in "0123456789abcdefABCDEF" for c in f)) and p.f_slashes == f.count("/")
+        assert abs(p.f_letter_digit - sum(a.isalpha() != b.isalpha() and a.isalnum() and b.isalnum() for a, b in zip(f, f[1:])) / len(f)) < 1e-9
+        assert abs(p.f_pairs - sum(x in X.PAIRS.split("|") for x in (f.lower()[i : i + 2] for i in range(len(f) - 1))) / len(f)) < 1e-9
+        assert p.f_asked == float(re.search(X.ASKS, p.before.lower()) is not None)
+
+
+def test_secrets_of_other_lengths(make):
+    docs = make([(1, 'password = "hunter2secretX"'), (2, "token = abcdefghijklmnopqrst")])
+    assert X.scan(docs).count() == 0
+    assert {r.finding for r in X.scan(docs, least=8, plain=True).collect()} == {"password", "hunter2secretX", "abcdefghijklmnopqrst"}
+
 
 def test_secrets(make, edges, nothing):
     hexes = "9f8e7d6c5b4a39281706f5e4d3c2b1a098765432"
@@ -242,6 +403,27 @@ def test_toxicity_on_held_out_rows(spark):
     assert np.mean([p for p, t in held if t == 1]) > 0.85 and np.mean([p for p, t in held if t == 0]) < 0.01
 
 
+def test_log_count_ratios_against_loops(spark, monkeypatch):
+    """The ratios that scale the features, counted by loops over the texts' n-grams."""
+    import pyarrow as pa
+
+    texts = [("you awful fool", 1), ("awful awful day", 1), ("lovely day", 0), ("a lovely walk by day", 0), ("a fool's walk", 0)]
+    counts, kept = {0: collections.Counter(), 1: collections.Counter()}, {}
+    for t, label in texts:
+        b = T._Batch(pa.array([t]))
+        for w in b.word.tolist():
+            for o, g in zip(b.owner.tolist(), b.gram.tolist()):
+                if o == w:
+                    counts[label][g] += 1
+    share = {c: (sum(counts[c].values()) + 1) / (sum(counts[0].values()) + sum(counts[1].values()) + 2) for c in (0, 1)}
+    want = {g: np.log((counts[1][g] + T.SMOOTH * share[1]) / (counts[0][g] + T.SMOOTH * share[0])) - np.log(share[1] / share[0]) for g in {*counts[0], *counts[1]}}
+    real = T._features
+    monkeypatch.setattr(T, "_features", lambda ratio: kept.update(ratio=ratio) or real(ratio))
+    T.train(spark.createDataFrame(texts, "text string, label int"))
+    for g, r in want.items():
+        assert abs(kept["ratio"][g] - (r if abs(r) >= T.LEAST else 0)) < 1e-9
+
+
 def test_toxicity_on_edges(spark, edges, nothing):
     schema = "key long, text string, label int"
     none = spark.createDataFrame([], schema)
