@@ -30,7 +30,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     found = near_dedup.near_dedup(docs)
     gone = found.groupBy(F.col("doc_id").alias("sq_gone")).agg(F.max("kept").alias("kept")).where("not kept").select("sq_gone")
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("sq_gone")), "left_anti")
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["sq_gone"]), "left_anti")
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
