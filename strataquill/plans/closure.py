@@ -17,7 +17,7 @@ from strataquill.plans.lineage import Materialised
 
 STRIDE = 4
 #: Depth from which runs are contracted, in closures (of several levels a round) and in longest paths (of one).
-DEEP, LEVELS = 64, 24
+DEEP, LEVELS = 32, 20
 FOLD = 32
 
 
