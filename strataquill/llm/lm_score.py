@@ -109,25 +109,32 @@ def contexts(token: np.ndarray, text: np.ndarray) -> np.ndarray:
     return out
 
 
-def _softmax(z: np.ndarray, whole: float = 1.0) -> np.ndarray:
-    """Rows of shares that sum to ``whole``, in place."""
-    z -= z.max(axis=1, keepdims=True)
+def _bounded(z: np.ndarray, layer: np.ndarray) -> np.ndarray:
+    """``z`` = h @ layer, less its rows' largest values where its exponentials could overflow: entries of h are 1 at most."""
+    if float(np.abs(layer).sum(axis=0).max()) > 80:
+        z -= z.max(axis=1, keepdims=True)
+    return z
+
+
+def _softmax(h: np.ndarray, layer: np.ndarray, whole: float = 1.0) -> np.ndarray:
+    """Rows of shares that sum to ``whole``."""
+    z = _bounded(h @ layer, layer)
     np.exp(z, out=z)
     z *= np.float32(whole) / z.sum(axis=1, keepdims=True)
     return z
 
 
-def _log_share(z: np.ndarray, own: np.ndarray) -> np.ndarray:
-    """Logarithm of one chosen share of each row's softmax, in place."""
-    z -= z.max(axis=1, keepdims=True)
+def _log_share(h: np.ndarray, layer: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Logarithm of one chosen share of each row's softmax."""
+    z = _bounded(h @ layer, layer)
     chosen = z[np.arange(len(own)), own]
     return chosen - np.log(np.exp(z, out=z).sum(axis=1))
 
 
 class Window:
-    """The network. ``weights`` is one flat array, of which the layers are views."""
+    """The network. ``weights`` is one flat array, of which the layers are views; the last row of ``out`` and of each class in ``word`` is its bias."""
 
-    LAYERS = {"embed": (PAD + 1, WIDTH), "gate": (2 * RADIUS, WIDTH), "bias": (WIDTH,), "out": (WIDTH, CLASSES), "prior": (CLASSES,), "word": (TOP, WIDTH, WITHIN), "share": (TOP, WITHIN)}
+    LAYERS = {"embed": (PAD + 1, WIDTH), "gate": (2 * RADIUS, WIDTH), "bias": (WIDTH,), "out": (WIDTH + 1, CLASSES), "word": (TOP, WIDTH + 1, WITHIN)}
     SIZE = sum(int(np.prod(s)) for s in LAYERS.values())
 
     def __init__(self, weights: np.ndarray | None = None, vocabulary: Vocabulary | None = None, seed: int = 1):
@@ -135,6 +142,7 @@ class Window:
             weights = np.random.default_rng(seed).normal(0, 0.1, self.SIZE)
         self.weights = weights.astype(np.float32)
         self.__dict__ |= self.views(self.weights)
+        self.prior, self.share = self.out[WIDTH], self.word[:, WIDTH]
         if vocabulary is not None:
             self.gate[:], self.bias[:] = 1 / RADIUS, 0
             counts = np.zeros(VOCABULARY)
@@ -156,10 +164,13 @@ class Window:
         return out
 
     def hidden(self, context: np.ndarray) -> np.ndarray:
+        """The hidden layer of each place, and a 1 behind it."""
         h = np.tile(self.bias, (context.shape[1], 1))
         for k in range(len(context)):
             h += self.embed[context[k]] * self.gate[k]
-        return np.tanh(h, out=h)
+        out = np.ones((len(h), WIDTH + 1), np.float32)
+        np.tanh(h, out=out[:, :WIDTH])
+        return out
 
     @staticmethod
     def by_class(token: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -175,9 +186,9 @@ class Window:
     def log_prob(self, context: np.ndarray, token: np.ndarray) -> np.ndarray:
         """Conditional log-probability of each token; of another word than the vocabulary's, of its class."""
         h = self.hidden(context)
-        out = _log_share(h @ self.out + self.prior, classes(token)).astype(np.float64)
+        out = _log_share(h, self.out, classes(token)).astype(np.float64)
         for c, part in self.by_class(token):
-            out[part] += _log_share(h[part] @ self.word[c] + self.share[c], token[part] % WITHIN)
+            out[part] += _log_share(h[part], self.word[c], token[part] % WITHIN)
         return out
 
     def train(self, context: np.ndarray, token: np.ndarray) -> None:
@@ -186,28 +197,28 @@ class Window:
         grad = np.zeros_like(self.weights)
         g = self.views(grad)
         h = self.hidden(context)
-        d = _softmax(h @ self.out + self.prior, 1 / n)
+        d = _softmax(h, self.out, 1 / n)
         d[np.arange(n), classes(token)] -= np.float32(1 / n)
         np.matmul(h.T, d, out=g["out"])
-        d.sum(axis=0, out=g["prior"])
-        back = d @ self.out.T
+        back = d @ self.out[:WIDTH].T
         for c, part in self.by_class(token):
             own = h[part]
-            d = _softmax(own @ self.word[c] + self.share[c], 1 / n)
+            d = _softmax(own, self.word[c], 1 / n)
             d[np.arange(len(part)), token[part] % WITHIN] -= np.float32(1 / n)
             np.matmul(own.T, d, out=g["word"][c])
-            d.sum(axis=0, out=g["share"][c])
-            back[part] += d @ self.word[c].T
+            back[part] += d @ self.word[c, :WIDTH].T
+        h = h[:, :WIDTH]
         back *= 1 - h * h
         back.sum(axis=0, out=g["bias"])
+        columns, sums = np.ascontiguousarray(back.T, np.float64), np.empty((WIDTH, PAD + 1))
         for k in range(len(context)):
-            order = np.argsort(context[k], kind="stable")  # radix sort of 16-bit numbers
-            ids = context[k][order]
-            at = np.flatnonzero(np.diff(ids, prepend=np.int16(-1)))
-            sums = np.add.reduceat(back[order], at, axis=0)
-            rows = ids[at]
-            g["gate"][k] = (sums * self.embed[rows]).sum(axis=0)
-            g["embed"][rows] += sums * self.gate[k]
+            ids = context[k].astype(np.int64)
+            for i, column in enumerate(columns):
+                sums[i] = np.bincount(ids, column, minlength=PAD + 1)
+            each = sums.T.astype(np.float32)
+            g["gate"][k] = (each * self.embed).sum(axis=0)
+            each *= self.gate[k]
+            g["embed"] += each
         self.steps += 1
         m1, m2 = self.moments
         m1 += np.float32(0.1) * (grad - m1)
