@@ -31,8 +31,8 @@ def _blobs(v):
 @query("SELECT DISTINCT oid, 'blob' AS type, size, sha1(data) AS data_sha1 FROM blobs")
 def packed_objects(v):
     """Every blob written to packs, with deltas against its neighbours, and read from them with deltas resolved."""
-    rows = v.chunked(_blobs(v), "path").repartition("chunk").drop("chunk")
-    stored = Materialised(v.spark, "packs")(rewriting.pack_partitions(rows, 1))
+    rows = v.chunked(_blobs(v), "path").repartition("chunk")
+    stored = Materialised(v.spark, "packs")(rewriting.pack_partitions(rows, 1, by="chunk"))
     entries = packs.decoded(stored.select(F.col("name").alias("path"), F.col("pack").alias("content")), packs.parse_pack, "offset long, kind string, size long, base_offset long, base_oid string, crc32 long, data binary")
     return packs.resolve(entries).select("oid", "type", F.octet_length("data").cast("long").alias("size"), F.sha1("data").alias("data_sha1"))
 
@@ -40,8 +40,8 @@ def packed_objects(v):
 @query("SELECT oid, true AS same_place, true AS same_crc32 FROM blobs GROUP BY oid")
 def indexed_packs(v):
     """Every entry of packs found through their indexes: each index's offsets and checksums are those of the pack itself."""
-    rows = v.chunked(_blobs(v), "path").repartition("chunk").drop("chunk")
-    stored = Materialised(v.spark, "packs")(rewriting.pack_partitions(rows, 0))
+    rows = v.chunked(_blobs(v), "path").repartition("chunk")
+    stored = Materialised(v.spark, "packs")(rewriting.pack_partitions(rows, 0, by="chunk"))
     index = packs.decoded(stored.select(F.col("name").alias("path"), F.col("idx").alias("content")), packs.parse_index, "oid string, offset long, crc32 long")
     entries = packs.decoded(stored.select(F.col("name").alias("path"), F.col("pack").alias("content")), packs.parse_pack, "offset long, kind string, size long, base_offset long, base_oid string, crc32 long, data binary")
     found = entries.select("file", "offset", O.object_id("blob", F.col("data")).alias("oid"), F.col("crc32").alias("own"))
