@@ -85,10 +85,13 @@ def rebalance_notes(notes_tree: DataFrame) -> DataFrame:
 
 
 def smudge(files: DataFrame, large: DataFrame) -> DataFrame:
-    """Files (path, data) with pointers replaced by the large contents (oid, content) where they are present."""
+    """Files (path, data) with pointers replaced by the large contents (oid, content) where they are present.
+
+    Only pointers are joined. Files without one would all meet at one key, and so in one task.
+    """
     pointed = files.withColumn("sq_pointer", O.lfs_pointer(F.col("data"))["oid"])
-    joined = pointed.join(large.select(F.col("oid").alias("sq_pointer"), "content"), "sq_pointer", "left")
-    return joined.select("path", F.coalesce("content", "data").alias("data"))
+    joined = pointed.where("sq_pointer is not null").join(large.select(F.col("oid").alias("sq_pointer"), "content"), "sq_pointer", "left")
+    return pointed.where("sq_pointer is null").select("path", "data").unionByName(joined.select("path", F.coalesce("content", "data").alias("data")))
 
 
 def clean(files: DataFrame, least: int) -> DataFrame:
