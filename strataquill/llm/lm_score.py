@@ -109,24 +109,29 @@ def contexts(token: np.ndarray, text: np.ndarray) -> np.ndarray:
     return out
 
 
-def _bounded(z: np.ndarray, layer: np.ndarray) -> np.ndarray:
-    """``z`` = h @ layer, less its rows' largest values where its exponentials could overflow: entries of h are 1 at most."""
-    if float(np.abs(layer).sum(axis=0).max()) > 80:
+def _wide(layers: np.ndarray) -> np.ndarray:
+    """Whether exponentials of h @ layer could overflow, for each layer: entries of h are 1 at most."""
+    return np.abs(layers).sum(axis=-2).max(axis=-1) > 80
+
+
+def _bounded(z: np.ndarray, layer: np.ndarray, wide: bool | None = None) -> np.ndarray:
+    """``z`` = h @ layer, less its rows' largest values where the layer is wide."""
+    if _wide(layer) if wide is None else wide:
         z -= z.max(axis=1, keepdims=True)
     return z
 
 
-def _softmax(h: np.ndarray, layer: np.ndarray, whole: float = 1.0) -> np.ndarray:
+def _softmax(h: np.ndarray, layer: np.ndarray, whole: float = 1.0, wide: bool | None = None) -> np.ndarray:
     """Rows of shares that sum to ``whole``."""
-    z = _bounded(h @ layer, layer)
+    z = _bounded(h @ layer, layer, wide)
     np.exp(z, out=z)
     z *= np.float32(whole) / z.sum(axis=1, keepdims=True)
     return z
 
 
-def _log_share(h: np.ndarray, layer: np.ndarray, own: np.ndarray) -> np.ndarray:
+def _log_share(h: np.ndarray, layer: np.ndarray, own: np.ndarray, wide: bool | None = None) -> np.ndarray:
     """Logarithm of one chosen share of each row's softmax."""
-    z = _bounded(h @ layer, layer)
+    z = _bounded(h @ layer, layer, wide)
     chosen = z[np.arange(len(own)), own]
     return chosen - np.log(np.exp(z, out=z).sum(axis=1))
 
@@ -166,8 +171,11 @@ class Window:
     def hidden(self, context: np.ndarray) -> np.ndarray:
         """The hidden layer of each place, and a 1 behind it."""
         h = np.tile(self.bias, (context.shape[1], 1))
+        part = np.empty_like(h)
         for k in range(len(context)):
-            h += self.embed[context[k]] * self.gate[k]
+            np.take(self.embed, context[k], axis=0, out=part, mode="clip")
+            part *= self.gate[k]
+            h += part
         out = np.ones((len(h), WIDTH + 1), np.float32)
         np.tanh(h, out=out[:, :WIDTH])
         return out
@@ -187,8 +195,9 @@ class Window:
         """Conditional log-probability of each token; of another word than the vocabulary's, of its class."""
         h = self.hidden(context)
         out = _log_share(h, self.out, classes(token)).astype(np.float64)
+        wide = _wide(self.word)
         for c, part in self.by_class(token):
-            out[part] += _log_share(h[part], self.word[c], token[part] % WITHIN)
+            out[part] += _log_share(h[part], self.word[c], token[part] % WITHIN, wide[c])
         return out
 
     def train(self, context: np.ndarray, token: np.ndarray) -> None:
@@ -201,9 +210,10 @@ class Window:
         d[np.arange(n), classes(token)] -= np.float32(1 / n)
         np.matmul(h.T, d, out=g["out"])
         back = d @ self.out[:WIDTH].T
+        wide = _wide(self.word)
         for c, part in self.by_class(token):
             own = h[part]
-            d = _softmax(own, self.word[c], 1 / n)
+            d = _softmax(own, self.word[c], 1 / n, wide[c])
             d[np.arange(len(part)), token[part] % WITHIN] -= np.float32(1 / n)
             np.matmul(own.T, d, out=g["word"][c])
             back[part] += d @ self.word[c, :WIDTH].T
@@ -221,11 +231,20 @@ class Window:
             g["embed"] += each
         self.steps += 1
         m1, m2 = self.moments
-        m1 += np.float32(0.1) * (grad - m1)
-        grad *= grad
-        m2 += np.float32(0.01) * (grad - m2)
         rate = np.float32(RATE / (1 + self.steps / 1600) / (1 - 0.9**self.steps))
-        self.weights -= rate * m1 / (np.sqrt(m2 * np.float32(1 / (1 - 0.99**self.steps))) + np.float32(1e-6))
+        part = grad - m1  # one array for all that follows
+        part *= np.float32(0.1)
+        m1 += part
+        grad *= grad
+        np.subtract(grad, m2, out=part)
+        part *= np.float32(0.01)
+        m2 += part
+        np.multiply(m2, np.float32(1 / (1 - 0.99**self.steps)), out=part)
+        np.sqrt(part, out=part)
+        part += np.float32(1e-6)
+        np.multiply(m1, rate, out=grad)
+        grad /= part
+        self.weights -= grad
 
 
 def _learn(vocabulary: Vocabulary, start: np.ndarray):

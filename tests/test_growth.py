@@ -6,6 +6,7 @@ import hashlib
 import random
 import time
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -211,3 +212,19 @@ def test_merges_move_blobs_once(spark):
         assert sorted(tuple(r) for r in twice.select("path", "oid", "conflict").collect()) == merged
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_wide_layers_are_sought_once_a_step(monkeypatch):
+    """op7: one look at all classes' layers for each step and score; a class whose exponentials would overflow is still scored."""
+    from strataquill.llm import lm_score
+
+    looks, wide = [], lm_score._wide
+    monkeypatch.setattr(lm_score, "_wide", lambda x: looks.append(x.shape) or wide(x))
+    net = lm_score.Window()
+    net.word[1, :, 0] = 100
+    token = (np.arange(4096) * 37 % lm_score.VOCABULARY).astype(np.int16)
+    context = lm_score.contexts(token, np.zeros(4096, np.int64))
+    assert np.isfinite(net.log_prob(context, token)).all()
+    net.train(context, token)
+    assert np.isfinite(net.weights).all()
+    assert len(looks) == 4  # the classes' layer and all words' layers, twice
