@@ -10,12 +10,16 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
+_INVERSE = pow(_BASE, -1, 1 << 64)
 #: ASCII white space: space, tab, line feed, vertical tab, form feed, carriage return.
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_POWERS = np.ones(1, dtype=U64)
+#: What each byte adds to its word's hash, lower-cased and as it is.
+_CODES = {True: _LOWER.astype(U64) + U64(1), False: np.arange(256, dtype=U64) + U64(1)}
+#: Powers of each base so far.
+_POWERS: dict[int, np.ndarray] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -29,13 +33,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _powers(n: int) -> np.ndarray:
-    global _POWERS
-    if len(_POWERS) < n:
-        out = np.full(max(n, 4096), U64(_BASE), dtype=U64)
+def _powers(n: int, base: int = _BASE) -> np.ndarray:
+    """At least the first ``n`` powers of ``base``, modulo 2**64."""
+    if len(_POWERS.get(base, ())) < n:
+        out = np.full(n + -n % (1 << 16), U64(base), dtype=U64)  # some more, for blocks differ in length
         out[0] = 1
-        _POWERS = np.multiply.accumulate(out)
-    return _POWERS
+        _POWERS[base] = np.multiply.accumulate(out, out=out)
+    return _POWERS[base]
 
 
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -55,8 +59,10 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-#: Bytes that word hashing works on at once; its working memory is some sixty times as much.
+#: Bytes of texts that operators work on at once.
 BLOCK = 1 << 20
+#: Bytes that word hashing works on at once; its working memory is some sixty times as much.
+SPAN = 1 << 18
 
 
 #: Functions that drop caches which other operators left in this process: workers serve one stage after another.
@@ -89,7 +95,7 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True, space: np.n
     """
     found, a, n = [], 0, len(data)
     while a < n:
-        b = a + BLOCK
+        b = a + SPAN
         while b < n:
             gap = np.flatnonzero(space[data[b : b + 65536]])
             if len(gap):
@@ -97,7 +103,7 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True, space: np.n
                 break
             b += 65536
         b = min(b, n)
-        inside = offsets[(offsets > a) & (offsets < b)]
+        inside = offsets[np.searchsorted(offsets, a, side="right") : np.searchsorted(offsets, b)]
         hashes, starts, ends = _block(data[a:b], inside - a, lower, space)
         found.append((hashes, starts + a, ends + a))
         a = b
@@ -109,7 +115,7 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True, space: np.n
 
 
 def _block(data: np.ndarray, cuts: np.ndarray, lower: bool, space: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    solid = ~space[data]
+    solid = ~np.take(space, data, mode="clip")
     edge = np.empty(len(data), dtype=bool)
     edge[0] = True
     np.not_equal(solid[1:], solid[:-1], out=edge[1:])
@@ -117,13 +123,18 @@ def _block(data: np.ndarray, cuts: np.ndarray, lower: bool, space: np.ndarray) -
     at = np.flatnonzero(edge)
     ends = np.append(at[1:], len(data))
     keep = solid[at]
-    # Polynomial hash of each word: place of a byte within its word = its place minus the start of its run.
-    place = np.arange(len(data), dtype=np.int64)
-    place -= np.repeat(at, ends - at)
-    terms = _powers(int(place.max()) + 1)[place]
-    terms *= (_LOWER[data] if lower else data).astype(U64) + U64(1)
     starts, ends = at[keep], ends[keep]
-    return mix(np.add.reduceat(terms, at)[keep] ^ (ends - starts).astype(U64) * U64(0x2545F4914F6CDD1D)), starts, ends
+    # Polynomial hash of each word: the sum of its bytes' codes times the base's powers by place in the block, divided by the power at the word's start.
+    sums = np.empty(len(data) + 1, dtype=U64)
+    sums[0] = 0
+    np.take(_CODES[lower], data, out=sums[1:], mode="clip")
+    sums[1:] *= _powers(len(data))[: len(data)]
+    np.cumsum(sums, out=sums)
+    hashes = sums[ends]
+    hashes -= sums[starts]
+    if len(starts):
+        hashes *= _powers(int(starts[-1]) + 1, _INVERSE)[starts]
+    return mix(hashes ^ (ends - starts).astype(U64) * U64(0x2545F4914F6CDD1D)), starts, ends
 
 
 def spans(text: np.ndarray, n: int) -> np.ndarray:

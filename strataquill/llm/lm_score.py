@@ -32,7 +32,11 @@ PAD = VOCABULARY + SHAPES
 RADIUS, WIDTH = 3, 16
 #: Tokens of one step of the optimiser.
 STEP = 8192
+#: Tokens that are scored at once.
+LOOK = 4 * STEP
 RATE = 0.02
+#: Places whose shares of a layer are held at once: they stay in the processor's cache.
+ROWS = 512
 #: At most so many words' counts are sent to tasks; the others' are joined.
 SHIPPED = 1 << 17
 #: Distinct words that a task counts before it passes them on.
@@ -45,10 +49,10 @@ def _hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """(hash of each word, its shape, its text, number of texts)."""
     data, offsets = _text.utf8(texts)
     hashes, _, ends, text = _text.words(data, offsets)
-    last = data[ends - 1].astype(np.int64) if len(ends) else np.zeros(0, np.int64)
-    before = data[np.maximum(ends - 2, 0)].astype(np.int64) if len(ends) else last
-    last, before = _text._LOWER[last].astype(np.int64), _text._LOWER[before].astype(np.int64)
-    return hashes.view(np.int64), (last * 7 + before * 31) % SHAPES, text, len(offsets) - 1
+    last = data[ends - 1] if len(ends) else np.zeros(0, np.uint8)
+    before = data[np.maximum(ends - 2, 0)] if len(ends) else last
+    last, before = _text._LOWER[last].astype(np.int16), _text._LOWER[before].astype(np.int16)
+    return hashes.view(np.int64), ((last * 7 + before * 31) % SHAPES).astype(np.int64), text, len(offsets) - 1
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,6 +81,24 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield row(summed(held))
 
 
+class Places:
+    """Places of words among sorted ones. Hashes spread evenly, so few start with the same 16 bits: a search has only these to look through."""
+
+    def __init__(self, words: np.ndarray):
+        self.words = words
+        self.first = np.searchsorted(words, np.arange(-(1 << 15), 1 << 15) << 48).astype(np.int32)
+        self.most = int(np.diff(self.first, append=len(words)).max())
+
+    def find(self, word: np.ndarray) -> np.ndarray:
+        """The place of each word that is among ``words``, which must not be empty; of another word, some place."""
+        last = len(self.words) - 1
+        at = np.minimum(self.first[(word >> 48) + (1 << 15)], last)
+        for _ in range(self.most - 1):
+            at += self.words[at] < word
+            np.minimum(at, last, out=at)
+        return at
+
+
 class Vocabulary:
     """Tokens of words: ``words`` are the own ones' hashes, the commonest first."""
 
@@ -84,12 +106,13 @@ class Vocabulary:
         self.order = np.argsort(words)
         self.sorted = words[self.order]
         self.counts, self.shape_counts = counts, shape_counts
+        self.places = Places(self.sorted)
 
     def tokens(self, word: np.ndarray, shape: np.ndarray) -> np.ndarray:
         """The token of each word."""
         if not len(self.sorted):
             return (VOCABULARY + shape).astype(np.int16)
-        at = np.minimum(np.searchsorted(self.sorted, word), len(self.sorted) - 1)
+        at = self.places.find(word)
         return np.where(self.sorted[at] == word, self.order[at], VOCABULARY + shape).astype(np.int16)
 
 
@@ -114,26 +137,61 @@ def _wide(layers: np.ndarray) -> np.ndarray:
     return np.abs(layers).sum(axis=-2).max(axis=-1) > 80
 
 
-def _bounded(z: np.ndarray, layer: np.ndarray, wide: bool | None = None) -> np.ndarray:
-    """``z`` = h @ layer, less its rows' largest values where the layer is wide."""
-    if _wide(layer) if wide is None else wide:
-        z -= z.max(axis=1, keepdims=True)
-    return z
-
+def _groups(parts: list[tuple[int, int, int]]) -> Iterator[list[tuple[int, int, int]]]:
+    """``parts`` (layer, first row, end) in a row, cut so that each group has ROWS rows at most."""
+    group: list = []
+    for c, at, end in parts:
+        while at < end:
+            stop = min(end, (group[0][1] if group else at) + ROWS)
+            group.append((c, at, stop))
+            at = stop
+            if stop - group[0][1] == ROWS:
+                yield group
+                group = []
+    if group:
+        yield group
 
-def _softmax(h: np.ndarray, layer: np.ndarray, whole: float = 1.0, wide: bool | None = None) -> np.ndarray:
-    """Rows of shares that sum to ``whole``."""
-    z = _bounded(h @ layer, layer, wide)
-    np.exp(z, out=z)
-    z *= np.float32(whole) / z.sum(axis=1, keepdims=True)
-    return z
 
+def _exponentials(h: np.ndarray, layers: np.ndarray, parts: list[tuple[int, int, int]], own: np.ndarray):
+    """For each group of ``parts``: (its parts, counted from its first row; its rows; their exponentials of h @ layer; these' sums; the logarithm of each row's chosen one).
 
-def _log_share(h: np.ndarray, layer: np.ndarray, own: np.ndarray, wide: bool | None = None) -> np.ndarray:
+    All are written to one place in memory. Where a layer is wide, a row's largest value is taken off first.
+    """
+    wide, width = _wide(layers), layers.shape[2]
+    room, ones, each = np.empty((min(ROWS, len(h)), width), np.float32), np.ones(width, np.float32), np.arange(ROWS)
+    for group in _groups(parts):
+        first, end = group[0][1], group[-1][2]
+        group = [(c, slice(a - first, b - first)) for c, a, b in group]
+        rows, z = h[first:end], room[: end - first]
+        for c, at in group:
+            np.matmul(rows[at], layers[c], out=z[at])
+            if wide[c]:
+                z[at] -= z[at].max(axis=1, keepdims=True)
+        chosen = z[each[: end - first], own[first:end]]
+        np.exp(z, out=z)
+        yield group, slice(first, end), z, z @ ones, chosen
+
+
+def _slopes(h: np.ndarray, layers: np.ndarray, parts: list[tuple[int, int, int]], own: np.ndarray, whole: float, grad: np.ndarray) -> np.ndarray:
+    """The slopes of ``whole`` times the sum of -log(chosen share of each row's softmax) by h less its last column; those by layers are added to ``grad``."""
+    back, heads, each = np.empty((len(h), WIDTH), np.float32), layers[:, :WIDTH].transpose(0, 2, 1), np.arange(ROWS)
+    for group, rows, e, total, _ in _exponentials(h, layers, parts, own):
+        e[each[: len(e)], own[rows]] -= total
+        scale = (np.float32(whole) / total)[:, None]  # of the short rows, not of all shares
+        short, out = h[rows] * scale, back[rows]
+        for c, at in group:
+            grad[c] += (e[at].T @ short[at]).T
+            np.matmul(e[at], heads[c], out=out[at])
+        out *= scale
+    return back
+
+
+def _log_share(h: np.ndarray, layers: np.ndarray, parts: list[tuple[int, int, int]], own: np.ndarray) -> np.ndarray:
     """Logarithm of one chosen share of each row's softmax."""
-    z = _bounded(h @ layer, layer, wide)
-    chosen = z[np.arange(len(own)), own]
-    return chosen - np.log(np.exp(z, out=z).sum(axis=1))
+    out = np.empty(len(h), np.float32)
+    for _, rows, _, total, chosen in _exponentials(h, layers, parts, own):
+        np.subtract(chosen, np.log(total), out=out[rows])
+    return out
 
 
 class Window:
@@ -168,36 +226,47 @@ class Window:
             at += n
         return out
 
-    def hidden(self, context: np.ndarray) -> np.ndarray:
-        """The hidden layer of each place, and a 1 behind it."""
-        h = np.tile(self.bias, (context.shape[1], 1))
-        part = np.empty_like(h)
-        for k in range(len(context)):
-            np.take(self.embed, context[k], axis=0, out=part, mode="clip")
-            part *= self.gate[k]
+    def around(self, context: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[slice, np.ndarray]]]:
+        """Tokens of the places and of RADIUS places on both sides; their embeddings, by column; for each offset, where its tokens stand
+        among these and the places from which it leads beyond the ends of the text.
+
+        ``context`` is what contexts() gives for ``token``, or a run of its columns: each offset's tokens are the places' own, moved, or PAD.
+        """
+        n = len(token)
+        ids = np.concatenate([context[:RADIUS, 0], token, context[RADIUS:, -1]]).astype(np.int64)
+        moved = [o + RADIUS for o in range(-RADIUS, RADIUS + 1) if o]
+        return ids, np.ascontiguousarray(self.embed[ids].T), [(slice(o, o + n), np.flatnonzero(row == PAD)) for o, row in zip(moved, context)]
+
+    def hidden(self, seen: np.ndarray, offsets: list[tuple[slice, np.ndarray]]) -> np.ndarray:
+        """The hidden layer of each place, and a 1 behind it, by column."""
+        n = offsets[0][0].stop - offsets[0][0].start
+        out = np.ones((WIDTH + 1, n), np.float32)
+        h, part = out[:WIDTH], np.empty((WIDTH, n), np.float32)
+        h[:] = self.bias[:, None]
+        for (at, ends), gate in zip(offsets, self.gate):
+            np.multiply(seen[:, at], gate[:, None], out=part)
+            part[:, ends] = (self.embed[PAD] * gate)[:, None]
             h += part
-        out = np.ones((len(h), WIDTH + 1), np.float32)
-        np.tanh(h, out=out[:, :WIDTH])
+        np.tanh(h, out=h)
         return out
 
     @staticmethod
-    def by_class(token: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """(class, places) of the places with words of the vocabulary."""
+    def by_class(token: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+        """The places with words of the vocabulary, sorted by class, and (class, its first among them, end) of each class."""
         kind = classes(token).astype(np.int16)
         order = np.argsort(kind, kind="stable")
         order = order[: np.searchsorted(kind[order], TOP)]
-        at = np.flatnonzero(np.diff(kind[order])) + 1
-        for part in np.split(order, at):
-            if len(part):
-                yield int(kind[part[0]]), part
+        kind = kind[order]
+        at = [0, *(np.flatnonzero(np.diff(kind)) + 1).tolist(), len(order)]
+        return order, [(int(kind[a]), a, b) for a, b in zip(at, at[1:]) if a < b]
 
     def log_prob(self, context: np.ndarray, token: np.ndarray) -> np.ndarray:
         """Conditional log-probability of each token; of another word than the vocabulary's, of its class."""
-        h = self.hidden(context)
-        out = _log_share(h, self.out, classes(token)).astype(np.float64)
-        wide = _wide(self.word)
-        for c, part in self.by_class(token):
-            out[part] += _log_share(h[part], self.word[c], token[part] % WITHIN, wide[c])
+        _, seen, offsets = self.around(context, token)
+        h = np.ascontiguousarray(self.hidden(seen, offsets).T)
+        out = _log_share(h, self.out[None], [(0, 0, len(h))], classes(token)).astype(np.float64)
+        order, parts = self.by_class(token)
+        out[order] += _log_share(h[order], self.word, parts, token[order] % WITHIN)
         return out
 
     def train(self, context: np.ndarray, token: np.ndarray) -> None:
@@ -205,30 +274,27 @@ class Window:
         n = len(token)
         grad = np.zeros_like(self.weights)
         g = self.views(grad)
-        h = self.hidden(context)
-        d = _softmax(h, self.out, 1 / n)
-        d[np.arange(n), classes(token)] -= np.float32(1 / n)
-        np.matmul(h.T, d, out=g["out"])
-        back = d @ self.out[:WIDTH].T
-        wide = _wide(self.word)
-        for c, part in self.by_class(token):
-            own = h[part]
-            d = _softmax(own, self.word[c], 1 / n, wide[c])
-            d[np.arange(len(part)), token[part] % WITHIN] -= np.float32(1 / n)
-            np.matmul(own.T, d, out=g["word"][c])
-            back[part] += d @ self.word[c, :WIDTH].T
-        h = h[:, :WIDTH]
-        back *= 1 - h * h
-        back.sum(axis=0, out=g["bias"])
-        columns, sums = np.ascontiguousarray(back.T, np.float64), np.empty((WIDTH, PAD + 1))
-        for k in range(len(context)):
-            ids = context[k].astype(np.int64)
-            for i, column in enumerate(columns):
-                sums[i] = np.bincount(ids, column, minlength=PAD + 1)
-            each = sums.T.astype(np.float32)
-            g["gate"][k] = (each * self.embed).sum(axis=0)
-            each *= self.gate[k]
-            g["embed"] += each
+        ids, seen, offsets = self.around(context, token)
+        columns = self.hidden(seen, offsets)
+        h = np.ascontiguousarray(columns.T)
+        back = _slopes(h, self.out[None], [(0, 0, n)], classes(token), 1 / n, g["out"][None])
+        order, parts = self.by_class(token)
+        back[order] += _slopes(h[order], self.word, parts, token[order] % WITHIN, 1 / n, g["word"])
+        back = np.ascontiguousarray(back.T)
+        back *= 1 - columns[:WIDTH] * columns[:WIDTH]
+        back.sum(axis=1, out=g["bias"])
+        sums, beyond, part = np.zeros_like(seen), np.zeros(WIDTH, np.float32), np.empty_like(back)
+        for k, (at, ends) in enumerate(offsets):
+            lost = back[:, ends].sum(axis=1)
+            part[:] = back
+            part[:, ends] = 0
+            g["gate"][k] = np.einsum("ij,ij->i", part, seen[:, at]) + lost * self.embed[PAD]
+            part *= self.gate[k][:, None]
+            sums[:, at] += part
+            beyond += lost * self.gate[k]
+        for i, column in enumerate(sums):
+            g["embed"][:, i] = np.bincount(ids, column, minlength=PAD + 1)
+        g["embed"][PAD] += beyond
         self.steps += 1
         m1, m2 = self.moments
         rate = np.float32(RATE / (1 + self.steps / 1600) / (1 - 0.9**self.steps))
@@ -333,7 +399,7 @@ def train(docs: DataFrame, vocab: Vocabulary, scratch: Scratch, text_col: str =
 
 def _score(vocab: Vocabulary, weights: np.ndarray, known: np.ndarray, known_log: np.ndarray):
     """Sums without the log counts of words that are not ``known``; these words are listed."""
-    mass = np.log(np.maximum(vocab.shape_counts, 1))
+    mass, places = np.log(np.maximum(vocab.shape_counts, 1)), Places(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = Window(weights)
@@ -342,11 +408,11 @@ def _score(vocab: Vocabulary, weights: np.ndarray, known: np.ndarray, known_log:
             token = vocab.tokens(word, shape)
             context = contexts(token, text)
             total = np.zeros(n)
-            for at in range(0, len(token), STEP):
-                total += np.bincount(text[at : at + STEP], net.log_prob(context[:, at : at + STEP], token[at : at + STEP]), minlength=n)
+            for at in range(0, len(token), LOOK):
+                total += np.bincount(text[at : at + LOOK], net.log_prob(context[:, at : at + LOOK], token[at : at + LOOK]), minlength=n)
             other = np.flatnonzero(token >= VOCABULARY)
             word, shape, where = word[other], shape[other], text[other]
-            place = np.minimum(np.searchsorted(known, word), max(0, len(known) - 1))
+            place = places.find(word) if len(known) else np.zeros(len(word), np.int64)
             held = known[place] == word if len(known) else np.zeros(len(word), bool)
             total += np.bincount(where[held], known_log[place[held]], minlength=n) - np.bincount(where, mass[shape], minlength=n)
             offsets = np.searchsorted(where[~held], np.arange(n + 1)).astype(np.int32)

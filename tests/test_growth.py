@@ -228,3 +228,86 @@ def test_wide_layers_are_sought_once_a_step(monkeypatch):
     net.train(context, token)
     assert np.isfinite(net.weights).all()
     assert len(looks) == 4  # the classes' layer and all words' layers, twice
+
+
+def test_steps_hold_few_shares_and_sum_each_place_once():
+    """op7: a step holds the shares of a block of places, not of all, and adds up slopes by token once a column, not once an offset and column."""
+    import tracemalloc
+
+    from strataquill.llm import lm_score
+
+    rng = np.random.default_rng(5)
+    token = (lm_score.PAD * rng.random(lm_score.STEP) ** 3).astype(np.int16)
+    context = lm_score.contexts(token, np.arange(len(token)) // 50)
+    net = lm_score.Window(rng.normal(0, 0.3, lm_score.Window.SIZE))
+    peaks, sums, bincount = [], [], np.bincount
+    for step in (net.log_prob, net.train):
+        tracemalloc.start()
+        step(context, token)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    print("peaks", peaks)
+    np.bincount = lambda *a, **k: sums.append(len(a[0])) or bincount(*a, **k)
+    try:
+        net.train(context, token)
+    finally:
+        np.bincount = bincount
+    assert sum(sums) <= lm_score.WIDTH * (len(token) + 2 * lm_score.RADIUS)
+    assert peaks[0] < 4e6 and peaks[1] < 8e6
+
+
+def test_steps_at_cuts_of_texts_and_of_steps():
+    """op7: slopes by embeddings and gates are those of plain loops, also where a step's first and last places have neighbours in other steps."""
+    from strataquill.llm import lm_score as L
+
+    rng = np.random.default_rng(6)
+    token = rng.integers(0, L.PAD, 90).astype(np.int16)
+    context = L.contexts(token, np.repeat([0, 1, 2, 3], [31, 2, 27, 30]))
+    for cut in (slice(0, 90), slice(30, 34), slice(40, 41), slice(45, 90)):
+        net = L.Window(rng.normal(0, 0.3, L.Window.SIZE))
+        start, part, own = net.weights.copy(), context[:, cut], token[cut]
+        net.train(part, own)
+        got = L.Window.views(net.moments[0] * 10)
+        for name, row in [("embed", L.PAD), *(("embed", t) for t in sorted({*part[:, 0], *part[:, -1]})), *(("gate", k) for k in range(2 * L.RADIUS))]:
+            i = int(np.argmax(np.abs(got[name][row])))
+            loss = []
+            for d in (0.01, -0.01):
+                moved = L.Window(start)
+                getattr(moved, name)[row, i] += d
+                loss.append(-moved.log_prob(part, own).mean())
+            assert abs((loss[0] - loss[1]) / 0.02 - got[name][row, i]) < 0.02 * abs(got[name][row, i]) + 1e-4
+
+
+def test_words_are_found_among_equal_beginnings():
+    """op7: the search by first bits finds what a binary search finds, whatever the hashes are."""
+    from strataquill.llm import lm_score
+
+    rng = np.random.default_rng(7)
+    spread = rng.integers(-(2**63), 2**63 - 1, 3000)
+    ends = np.array([-(2**63), -1, 0, 1, 2**63 - 1])
+    for words in (spread, rng.integers(0, 500, 300), ends, spread[:1]):
+        words = np.unique(words)
+        places = lm_score.Places(words)
+        assert (places.find(words) == np.arange(len(words))).all()
+        other = np.setdiff1d(np.concatenate([words + 1, words - 1, ends]), words)
+        at = places.find(other)
+        assert (at >= 0).all() and (words[at] != other).all()
+
+
+def test_word_hashes_against_plain_arithmetic():
+    """op7 and all that hash words: the sums over a block give the same hash as each word's own polynomial, wherever it stands."""
+    import pyarrow as pa
+
+    from strataquill.llm import _text
+
+    def plain(word):
+        h = sum((c + 32 * (65 <= c <= 90) + 1) * pow(_text._BASE, i, 1 << 64) for i, c in enumerate(word)) % (1 << 64)
+        return int(_text.mix(np.array([h ^ len(word) * 0x2545F4914F6CDD1D % (1 << 64)], np.uint64))[0])
+
+    texts = ["Aa b\tZé", "", None, " x ", "y" * 70_000 + " tail", "one two " * 200_000]
+    data, offsets = _text.utf8(pa.array(texts))
+    hashes, starts, ends, text = _text.words(data, offsets)
+    words = [t.encode().split() for t in texts if t is not None]
+    assert len(hashes) == sum(map(len, words)) and text.tolist() == [i for i, t in enumerate(texts) for _ in (t or "").encode().split()]
+    want = {w: plain(w) for t in words for w in set(t)}
+    assert hashes.tolist() == [want[w] for t in words for w in t]
