@@ -8,14 +8,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataquill.functions import objects as O
-from strataquill.functions._udf import vectorised
 from strataquill.functions.text import blocks
+from strataquill.operators.blocks import similar
 from strataquill.operators.trees import tree_changes
 from strataquill.plans.lineage import Materialised
 from strataquill.plans.ranking import numbered
@@ -31,61 +29,18 @@ def similarity(left: DataFrame, right: DataFrame, threshold: int | None = None)
     """(left_oid, right_oid, score) of pairs of blobs (oid, data) that share a block: shared bytes * 100 / size of the larger, rounded down.
 
     Pairs that share nothing score 0 and are left out; two empty blobs score 100. With ``threshold`` only scores above it are returned,
-    and blobs whose sizes alone forbid it are never paired.
+    blobs whose sizes alone forbid it are never paired, and rows of one oid are one blob.
     """
+    if threshold is not None:
+        return similar(left, right, threshold)
     a = count_blocks(left).select(F.col("oid").alias("left_oid"), "block", F.col("bytes").alias("a"))
     b = count_blocks(right).select(F.col("oid").alias("right_oid"), "block", F.col("bytes").alias("b"))
     sa = left.select(F.col("oid").alias("left_oid"), F.octet_length("data").cast("long").alias("la")).distinct()
     sb = right.select(F.col("oid").alias("right_oid"), F.octet_length("data").cast("long").alias("lb")).distinct()
-    if threshold is not None:
-        shared = _likely(left, right, threshold)
-    else:
-        shared = a.join(b, "block").groupBy("left_oid", "right_oid").agg(F.sum(F.least("a", "b")).alias("common")).join(sa, "left_oid").join(sb, "right_oid").withColumn("size", F.greatest("la", "lb"))
+    shared = a.join(b, "block").groupBy("left_oid", "right_oid").agg(F.sum(F.least("a", "b")).alias("common")).join(sa, "left_oid").join(sb, "right_oid").withColumn("size", F.greatest("la", "lb"))
     scored = shared.select("left_oid", "right_oid", F.floor(F.col("common") * 100 / F.col("size")).cast("int").alias("score"))
     empty = sa.where("la = 0").join(sb.where("lb = 0"), F.col("la") == F.col("lb")).select("left_oid", "right_oid", F.lit(100).alias("score"))  # one empty blob a side
-    out = scored.unionByName(empty)
-    return out if threshold is None else out.where(F.col("score") > threshold)
-
-
-@vectorised("long")
-def _common(a: pd.Series, x: pd.Series, b: pd.Series, y: pd.Series) -> pd.Series:
-    """Sums of the lesser of two byte counts (x, y) over the numbers that two rising arrays (a, b) share."""
-
-    def one(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray) -> int:
-        _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-        return int(np.minimum(x[i], y[j]).sum())
-
-    return pd.Series([one(*r) for r in zip(a, x, b, y)], dtype="int64")
-
-
-def _likely(left: DataFrame, right: DataFrame, threshold: int) -> DataFrame:
-    """(left_oid, right_oid, common, size) of every pair that can score above ``threshold``, and of some that don't.
-
-    A score above it needs a share of each blob's bytes in common. Blocks stand in one order, by the pairs that each would make. The first block
-    that two blobs share has all their common bytes at or behind it, so pairs are sought only by blocks with that many bytes at or behind
-    them in both blobs: a block that very many blobs have is used only by blobs that consist of such. What pairs have in common is counted over all their blocks.
-    """
-    keep = Materialised(left.sparkSession, "similar")
-    sides = None
-    for name, side in (("left", left), ("right", right)):
-        each = side.select(F.lit(name).alias("side"), "oid", F.octet_length("data").cast("long").alias("size"), F.explode(blocks(F.col("data"))).alias("block"))
-        part = each.groupBy("side", "oid", "size", "block").agg(F.sum(F.length("block")).cast("long").alias("bytes"))
-        sides = part if sides is None else sides.unionByName(part)
-    block = Window.partitionBy("block")
-    met = sides.withColumn("n", F.count_if(F.col("side") == "left").over(block) * F.count_if(F.col("side") == "right").over(block))
-    # A block's number is the place of its first row among rows that are sorted by blocks. Only blocks of both sides can be shared.
-    met = met.withColumn("at", F.monotonically_increasing_id()).withColumn("no", F.min("at").over(block)).where("n > 0")
-    behind = F.sum("bytes").over(Window.partitionBy("side", "oid").orderBy(F.desc("n"), F.desc("no")).rowsBetween(Window.unboundedPreceding, 0))
-    placed = keep(met.select("side", "oid", "size", "no", "bytes", (behind * 100 >= F.col("size") * (threshold + 1)).alias("early")))
-    early = placed.where("early")
-    a = early.where("side = 'left'").select("no", F.col("oid").alias("left_oid"), F.col("size").alias("la"))
-    b = early.where("side = 'right'").select("no", F.col("oid").alias("right_oid"), F.col("size").alias("lb"))
-    fits = F.least("la", "lb") * 100 >= F.greatest("la", "lb") * (threshold + 1)
-    pairs = a.join(b, "no").where(fits).select("left_oid", "right_oid", F.greatest("la", "lb").alias("size")).distinct()
-    whole = placed.groupBy("side", "oid").agg(F.array_sort(F.collect_list(F.struct("no", "bytes"))).alias("x")).select("side", "oid", F.col("x.no").alias("no"), F.col("x.bytes").alias("bytes"))
-    x = whole.where("side = 'left'").select(F.col("oid").alias("left_oid"), F.col("no").alias("a"), F.col("bytes").alias("x"))
-    y = whole.where("side = 'right'").select(F.col("oid").alias("right_oid"), F.col("no").alias("b"), F.col("bytes").alias("y"))
-    return pairs.join(x, "left_oid").join(y, "right_oid").select("left_oid", "right_oid", _common("a", "x", "b", "y").alias("common"), "size")
+    return scored.unionByName(empty)
 
 
 @dataclass(frozen=True)
