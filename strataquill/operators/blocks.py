@@ -12,12 +12,11 @@ from collections.abc import Callable, Iterator
 from hashlib import blake2b
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataquill.functions._udf import vectorised
+from strataquill.functions._udf import cuts
 from strataquill.plans.lineage import Materialised
 from strataquill.shipping import ship
 
@@ -29,22 +28,36 @@ FEW = 16
 PLACED = 1 << 19
 #: Blocks of one group in which they are counted, and bytes of keys that a task holds at once when it scores pairs, about.
 COUNTED, HELD = 1 << 21, 1 << 24
+#: Blobs at most of which a task remembers that it has read them.
+SEEN = 1 << 17
 #: Pairs of one batch of results.
 BATCH = 1 << 14
 
 _BLOCK = re.compile(rb"[^\n]{0,63}\n|[^\n]{1,64}")
 
 
-@vectorised("struct<keys: binary, bytes: binary, n: int>")
-def signature(data: pd.Series) -> pd.DataFrame:
+def signature(text: bytes) -> tuple[bytes, bytes, int]:
     """Keys of a blob's distinct blocks (those of functions.text.blocks), bytes of each as 32 bits, and their number."""
-
-    def one(text: bytes) -> tuple[bytes, bytes, int]:
-        held = Counter(_BLOCK.findall(text))
-        sizes = np.fromiter((len(b) * n for b, n in held.items()), "<u4", len(held))
-        return b"".join(blake2b(b, digest_size=KEY).digest() for b in held), sizes.tobytes(), len(held)
-
-    return pd.DataFrame([one(x) for x in data], columns=["keys", "bytes", "n"])
+    held = Counter(_BLOCK.findall(text))
+    sizes = np.fromiter((len(b) * n for b, n in held.items()), "<u4", len(held))
+    return b"".join(blake2b(b, digest_size=KEY).digest() for b in held), sizes.tobytes(), len(held)
+
+
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (is_left, id, oid, size, text) with keys, bytes and n instead of texts. Copies that a task meets again among SEEN blobs go here; the others' rows are equal."""
+    seen: set[tuple[bool, str]] = set()
+    for batch in batches:
+        for at, n in cuts(tuple(batch.columns)):
+            part = batch.slice(at, n)
+            new = []
+            for x in zip(part.column("is_left").to_pylist(), part.column("oid").to_pylist()):
+                new.append(x not in seen)
+                if len(seen) < SEEN:
+                    seen.add(x)
+            part = part.filter(pa.array(new))
+            keys, held, blocks = zip(*[signature(t) for t in part.column("text").to_pylist()]) if len(part) else ((), (), ())
+            columns = [*part.columns[:4], pa.array(keys, pa.binary()), pa.array(held, pa.binary()), pa.array(blocks, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names=["is_left", "id", "oid", "size", "keys", "bytes", "n"])
 
 
 def _planes(numbers: np.ndarray) -> bytes:
@@ -193,9 +206,9 @@ def similar(left: DataFrame, right: DataFrame, threshold: int) -> DataFrame:
     sides = None
     for is_left, side in ((True, left), (False, right)):
         size, text = F.octet_length("data").cast("long"), F.encode("data", "UTF-8")
-        part = side.where("data is not null").select(F.lit(is_left).alias("is_left"), F.xxhash64("oid").alias("id"), "oid", size.alias("size"), signature(text).alias("s"))
+        part = side.where("data is not null").select(F.lit(is_left).alias("is_left"), F.xxhash64("oid").alias("id"), "oid", size.alias("size"), text.alias("text"))
         sides = part if sides is None else sides.unionByName(part)
-    whole = keep(sides.select("is_left", "id", "oid", "size", "s.*"))
+    whole = keep(sides.mapInArrow(_signed, "is_left boolean, id long, oid string, size long, keys binary, bytes binary, n int"))
     blocks, held = whole.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.expr("if(is_left, 0, n)")), F.lit(0))).first()
     sought = "is_left boolean, no long, before long, id long, size long"
     early = whole.select("is_left", "id", "size", "keys", "bytes", "n").mapInArrow(_early(threshold, *_order(whole, blocks, keep)), sought)

@@ -118,10 +118,9 @@ def greedy(pairs: DataFrame) -> DataFrame:
     Taking pairs one after another, a new path is settled by its first pair, since a used source still serves for copies. So its
     best pair is its choice, whatever else was taken, and a source's best choice is its rename.
     """
-    keep = Materialised(pairs.sparkSession, "greedy")
-    left = keep(pairs.withColumn("rank", F.struct((-F.col("score")).alias("s"), "old_path", "new_path")))
-    chosen = left.join(left.groupBy("new_path").agg(F.min("rank").alias("rank")).select("rank"), "rank", "left_semi")
-    first = F.row_number().over(Window.partitionBy("old_path").orderBy("rank")) == 1
+    best = F.min(F.struct((-F.col("score")).alias("rank"), "old_path", "old_oid", "old_mode", "moved", "new_oid", "new_mode"))
+    chosen = pairs.groupBy("new_path").agg(best.alias("best")).select("new_path", "best.*")
+    first = F.row_number().over(Window.partitionBy("old_path").orderBy("rank", "new_path")) == 1
     return chosen.select(F.when(first & F.col("moved"), "rename").otherwise("copy").alias("change_type"), "old_path", "old_oid", "old_mode", "new_path", "new_oid", "new_mode")
 
 
